@@ -1,15 +1,210 @@
-"""The registered queries of the library, and their SQL."""
+"""The registered queries of the library, and their SQL. Sequences are the DNA view of whole documents."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from seqframe.functions.sequence import canonical, dna_of, reverse_complement, translate_codon
+from seqframe.operators import graph, intervals, kmers, relational, scans, stats
+
+K = 31
+PRIMERS_F, PRIMERS_R = ["ACGTCAT", "TTGCAAT"], ["GATTGCA", "CATTGCA"]
+STARTS, ENDS = ["ATG", "CAT", "TTA"], ["TAA", "GCA", "AAC"]
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def sequences(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), dna_of("text").alias("seq"))
+
+
+def counts(spark: SparkSession, d: str, k: int = K, lo: int = 3) -> DataFrame:
+    return kmers.count_kmers(sequences(spark, d), k, lo)
+
+
+def points(spark: SparkSession, d: str) -> DataFrame:
+    """Event times as positions: one id a user, one direction an event type, precision from the value."""
+    return table(spark, d, "events").select(
+        F.col("user_id").alias("id"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("pos"), F.col("event_type").alias("dir"),
+        F.lit(9999999999).alias("len"), F.floor(F.abs("value")).cast("long").alias("prec"),
+    )
+
+
+def regions(spark: SparkSession, d: str) -> DataFrame:
+    at = F.unix_seconds(F.col("ts").cast("timestamp"))
+    return table(spark, d, "events").select(
+        F.col("user_id").alias("id"), at.alias("lo"), (at + 600 + F.floor(F.abs("value")).cast("long") * 40).alias("hi"), F.col("event_type").alias("dir")
+    )
+
+
+def overlaps(spark: SparkSession, d: str) -> DataFrame:
+    """Alignment rows between parts (reference) and suppliers (query) that line items bring together."""
+    x = table(spark, d, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.max("l_quantity").alias("q"), F.max(F.col("l_linenumber")).alias("l"))
+    cov = lambda c: F.least(F.lit(100.0), F.col(c) * 2.0 + 4)
+    return x.select(
+        F.concat(F.lit("r"), F.col("l_partkey") % 997).alias("ref"), F.concat(F.lit("r"), F.col("l_suppkey") % 991).alias("qry"), F.lit(1).alias("s1"),
+        F.col("q").cast("int").alias("e1"), F.when(F.col("l") > 3, 1).otherwise(2).alias("s2"), (F.col("q") + 10).cast("int").alias("e2"), F.lit(50).alias("len_r"),
+        F.when(F.col("l") > 2, (F.col("q") + 10).cast("int")).otherwise(90).alias("len_q"), (90 + F.col("l") * 1.5).cast("double").alias("idy"),
+        cov("q").alias("cov_r"), cov("q").alias("cov_q"),
+    )
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    seq = sequences
+    return {
+        "kmer_count": lambda s, d: kmers.count_kmers(seq(s, d), 11),
+        "kmer_range": lambda s, d: kmers.count_range(kmers.count_kmers(seq(s, d), K), 3, 40),
+        "kmer_suffix": lambda s, d: kmers.with_ends(counts(s, d), "AAGGT"),
+        "revcomp": lambda s, d: seq(s, d).select("id", F.sha2(reverse_complement("seq"), 256).alias("rc")),
+        "canonical": lambda s, d: seq(s, d).where(F.length("seq") >= K).select("id", canonical(F.substring("seq", 1, K)).alias("kmer")),
+        "codon": lambda s, d: seq(s, d).where(F.length("seq") >= 3).select("id", translate_codon(F.substring("seq", 1, 3)).alias("aa")),
+        "seq_len": lambda s, d: seq(s, d).where(F.length("seq") > 0).select("id", F.length("seq").alias("len")),
+        "long_seqs": lambda s, d: seq(s, d).where(F.length("seq") > 1000).select("id", F.sha2("seq", 256).alias("seq")),
+        "tag_semi": lambda s, d: relational.select_tags(seq(s, d), table(s, d, "labels").where("quality = 1").select(F.col("doc_id").alias("id"))).select("id"),
+        "tag_anti": lambda s, d: relational.select_tags(seq(s, d), table(s, d, "labels").where("quality = 1").select(F.col("doc_id").alias("id")), keep=False).select("id"),
+        "full_exon2": lambda s, d: scans.full_second_exon(scans.second_exon(seq(s, d)), 60).select("id", F.sha2("seq", 256).alias("seq")),
+        "end_mer": lambda s, d: scans.end_mer(seq(s, d), K),
+        "start_mer": lambda s, d: scans.start_mer(seq(s, d), K),
+        "exon1_region": lambda s, d: scans.first_exon(seq(s, d)).select("id", F.length("seq").alias("len"), F.sha2("seq", 256).alias("seq")),
+        "exon2_region": lambda s, d: scans.second_exon(seq(s, d)).select("id", F.length("seq").alias("len"), F.sha2("seq", 256).alias("seq")),
+        "stop_score": lambda s, d: scans.best_frame(seq(s, d)).select("id", "strand", "score"),
+        "kmer_trace": lambda s, d: kmers.trace(seq(s, d), counts(s, d), K).groupBy("id").agg(
+            F.count("*").alias("n"), F.count_if(F.col("cnt") > 0).alias("matched"), F.sum("cnt").alias("total"), F.sum(F.coalesce(F.size("alts"), F.lit(0))).cast("long").alias("n_alts")),
+        "alt_bases": lambda s, d: kmers.alternatives(seq(s, d), counts(s, d), K),
+        "kmer_confirm": lambda s, d: kmers.confirmed(seq(s, d), counts(s, d), K),
+        "kmer_successors": lambda s, d: kmers.successors(counts(s, d)),
+        "end_clusters": lambda s, d: intervals.cluster_endpoints(points(s, d)).select("id", "pos", "dir", "prec"),
+        "region_union": lambda s, d: intervals.union_regions(regions(s, d)),
+        "interval_groups": lambda s, d: intervals.group_intervals(regions(s, d).select(F.col("id").alias("qry"), F.col("hi").alias("s2"), F.col("lo").alias("e2"))),
+        "cut_sections": lambda s, d: intervals.cut_sections(seq(s, d), table(s, d, "labels").select(
+            F.col("doc_id").alias("contig"), (F.col("quality") * 90 + 10).alias("start"), (F.lit(60) + F.col("toxic") * 30).alias("end")), 5),
+        "first_seen": lambda s, d: relational.first_seen(table(s, d, "events").select("user_id", "event_type", "event_id"), ["user_id", "event_type"], ["event_id"]),
+        "unique_path": lambda s, d: relational.unique_paths(table(s, d, "conversations").select("conv_id", "turn", F.when(F.col("role") == "user", 1).otherwise(2).alias("variant")), "conv_id", "turn", "variant"),
+        "n50": lambda s, d: stats.n50(table(s, d, "orders").select(F.round(F.col("o_totalprice") * 100).cast("long").alias("value"))),
+        "quantile": lambda s, d: stats.quantile(table(s, d, "lineitem").select(F.col("l_quantity").alias("value")), 0.37),
+        "quantile_bins": lambda s, d: stats.quantile_bins(table(s, d, "lineitem").select(F.col("l_quantity").alias("value")), 7),
+        "describe": lambda s, d: stats.describe(table(s, d, "lineitem"), "l_quantity", ["l_returnflag"]),
+        "least_squares": lambda s, d: stats.least_squares(table(s, d, "lineitem"), "l_tax", "l_quantity", ["l_returnflag"]),
+        "pearson": lambda s, d: stats.pearson(table(s, d, "lineitem"), "l_quantity", "l_discount", ["l_returnflag"]),
+        "argmax_key": lambda s, d: stats.argmax_key(table(s, d, "lineitem"), ["l_suppkey"], "l_orderkey", "l_quantity"),
+        "tied_keys": lambda s, d: stats.tied_keys(table(s, d, "lineitem"), ["l_suppkey"], "l_orderkey", "l_quantity").select("l_suppkey", F.array_join("keys", ",").alias("keys")),
+        "all_any": lambda s, d: stats.all_any(table(s, d, "lineitem"), ["l_suppkey"], F.col("l_discount") > 0.02),
+        "classify_ends": lambda s, d: relational.classify_ends(seq(s, d), STARTS, ENDS),
+        "contained_pairs": lambda s, d: relational.contained_matches(overlaps(s, d)),
+        "inclusion_dedup": lambda s, d: graph.remove_inclusions(overlaps(s, d)),
+        "unify": lambda s, d: relational.unify(overlaps(s, d).select(F.col("ref").alias("id")).distinct(), overlaps(s, d).select(F.col("qry").alias("id")).distinct(), overlaps(s, d)),
+        "distance_matrix": lambda s, d: relational.distance_matrix(overlaps(s, d)),
+        "consensus": lambda s, d: relational.consensus(seq(s, d).where(F.length("seq") >= 200).select("id", F.substring("seq", 1, 200).alias("seq"))),
+        "primer_pairs": lambda s, d: relational.primer_pairs(seq(s, d), PRIMERS_F, PRIMERS_R).groupBy("id", "lo_primer", "hi_primer").agg(F.count("*").alias("n"), F.min("len").alias("shortest"), F.max("len").alias("longest")),
+        "edit_distance": lambda s, d: table(s, d, "part").select("p_partkey", F.levenshtein("p_name", "p_type", 12).alias("d")),
+        "unitigs": lambda s, d: graph.unitig_sequences(counts(s, d, lo=8)).select("head", F.col("n").cast("long").alias("n"), F.sha2("seq", 256).alias("seq")),
+        "walk": lambda s, d: graph.walk(scans.start_mer(seq(s, d), 21).select(F.col("id").cast("string").alias("tag"), "kmer"), counts(s, d, 21, 8), 12),
+    }
+
+
+_LOW = "abcdefghijklmnopqrstuvwxyz"
+_S = f"""s AS (SELECT doc_id AS id, upper(translate(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g'), '{_LOW}{_LOW.upper()}', '{("acgt" * 7)[:26] * 2}')) AS seq FROM documents)"""
+_P = lambda k: f"p{k} AS (SELECT id, i AS pos, substr(seq, i, {k}) AS kmer FROM (SELECT id, seq, unnest(range(1, length(seq) - {k} + 2)) AS i FROM s))"
+_RC = lambda c: f"reverse(translate({c}, 'ACGT', 'TGCA'))"
+_C = lambda k, lo=0: f"c{k} AS (SELECT least(kmer, {_RC('kmer')}) AS kmer, count(*) AS cnt FROM p{k} GROUP BY 1 HAVING count(*) >= {lo})"
+_STOPS = "('TAA', 'TAG', 'TGA')"
+_FIRST = lambda r, b, e: f"list_filter(range({b}, {e} + 1), lambda i: i % 3 = {r} AND substr(seq, i, 3) IN {_STOPS})[1]"
+_LAST = lambda motif, upto: f"coalesce(list_max(list_filter(range(1, {upto} - {len(motif) - 2}), lambda i: substr(seq, i, {len(motif)}) = '{motif}')), 0)"
+_EXON2 = f"""a AS (SELECT id, seq, instr(seq, 'AGAA') AS a FROM s WHERE instr(seq, 'AGAA') > 0),
+f AS (SELECT *, {_FIRST(0, 'a', 'length(seq) - 2')} AS c0, {_FIRST(1, 'a', 'length(seq) - 2')} AS c1, {_FIRST(2, 'a', 'length(seq) - 2')} AS c2 FROM a),
+x2 AS (SELECT id, substr(seq, a, CASE WHEN c0 IS NULL OR c1 IS NULL OR c2 IS NULL THEN length(seq) ELSE greatest(c0, c1, c2) + 2 END - a + 1) AS seq FROM f)"""
+_POINTS = "e AS (SELECT user_id AS id, (epoch_us(ts) // 1000000) AS pos, event_type AS dir, floor(abs(value))::BIGINT AS prec FROM events)"
+_REGIONS = "g AS (SELECT user_id AS id, (epoch_us(ts) // 1000000) AS lo, (epoch_us(ts) // 1000000) + 600 + floor(abs(value))::BIGINT * 40 AS hi, event_type AS dir FROM events)"
+_O = """o AS (SELECT 'r' || (l_partkey % 997) AS ref, 'r' || (l_suppkey % 991) AS qry, 1 AS s1, q::INT AS e1, CASE WHEN l > 3 THEN 1 ELSE 2 END AS s2, (q + 10)::INT AS e2, 50 AS len_r,
+  CASE WHEN l > 2 THEN (q + 10)::INT ELSE 90 END AS len_q, 90 + l * 1.5::DOUBLE AS idy, least(100.0::DOUBLE, q * 2 + 4) AS cov_r, least(100.0::DOUBLE, q * 2 + 4) AS cov_q
+  FROM (SELECT l_partkey, l_suppkey, max(l_quantity) AS q, max(l_linenumber) AS l FROM lineitem GROUP BY ALL))"""
+_NEIGHBOURS = f"""n AS (SELECT id, pos, 'R' AS side, b AS base, left(kmer, {K - 1}) || b AS kmer FROM p{K}, (VALUES ('A'), ('C'), ('G'), ('T')) v(b) WHERE b <> right(kmer, 1)
+  UNION ALL SELECT id, pos, 'L', b, b || substr(kmer, 2) FROM p{K}, (VALUES ('A'), ('C'), ('G'), ('T')) v(b) WHERE b <> left(kmer, 1)),
+alt AS (SELECT id, pos, side, base, cnt FROM n JOIN c{K} c ON least(n.kmer, {_RC('n.kmer')}) = c.kmer)"""
+_BOTH = lambda k: f"b AS (SELECT DISTINCT unnest([kmer, {_RC('kmer')}]) AS kmer FROM c{k}), l AS (SELECT x.kmer AS src, y.kmer AS dst FROM b x JOIN b y ON substr(x.kmer, 2) = left(y.kmer, {k - 1}))"
+_START = lambda k: f"list_filter(range(1, length(seq) - 1, 3), lambda i: substr(seq, i, 3) = 'ATG')[1]"
+_PRIMER = lambda ps, seq: " UNION ALL ".join(f"SELECT id, {i + 1} AS which, unnest(list_filter(range(1, length(seq) - {len(p) - 2}), lambda i: substr({seq}, i, {len(p)}) = '{p}')) AS p, length(seq) AS n FROM r" for i, p in enumerate(ps))
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    p, c = _P(K), _C(K, 3)
+    return {
+        "kmer_count": f"WITH {_S}, {_P(11)}, {_C(11)} SELECT * FROM c11",
+        "kmer_range": f"WITH {_S}, {p}, {c} SELECT * FROM c{K} WHERE cnt BETWEEN 3 AND 40",
+        "kmer_suffix": f"WITH {_S}, {p}, {c} SELECT kmer, cnt FROM (SELECT DISTINCT unnest([kmer, {_RC('kmer')}]) AS kmer, cnt FROM c{K}) WHERE suffix(kmer, 'AAGGT')",
+        "revcomp": f"WITH {_S} SELECT id, sha256({_RC('seq')}) AS rc FROM s",
+        "canonical": f"WITH {_S} SELECT id, least(left(seq, {K}), {_RC(f'left(seq, {K})')}) AS kmer FROM s WHERE length(seq) >= {K}",
+        "codon": f"WITH {_S} SELECT id, substr('FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG', ((instr('TCAG', seq[1]) - 1) * 16 + (instr('TCAG', seq[2]) - 1) * 4 + instr('TCAG', seq[3]))::BIGINT, 1) AS aa FROM s WHERE length(seq) >= 3",
+        "seq_len": f"WITH {_S} SELECT id, length(seq)::INT AS len FROM s WHERE length(seq) > 0",
+        "long_seqs": f"WITH {_S} SELECT id, sha256(seq) AS seq FROM s WHERE length(seq) > 1000",
+        "tag_semi": "SELECT doc_id AS id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)",
+        "tag_anti": "SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)",
+        "full_exon2": f"WITH {_S}, {_EXON2} SELECT id, sha256(seq) AS seq FROM x2 WHERE length(seq) >= 60 AND prefix(seq, 'AGAA') AND length(seq) % 3 = 2 AND right(seq, 3) IN {_STOPS}",
+        "end_mer": f"""WITH {_S}, a AS (SELECT id, seq, {_LAST('GT', 'length(seq)')} AS p FROM s), b AS (SELECT *, {_LAST('AAGGT', 'least(length(seq), p + 3)')} AS q FROM a WHERE p >= {K - 1})
+            SELECT id, substr(seq, CASE WHEN q >= {K - 4} AND p - q <= 1003 THEN q + 4 ELSE p + 1 END - {K - 1}, {K}) AS kmer FROM b""",
+        "start_mer": f"WITH {_S}, a AS (SELECT id, seq, {_START(K)} AS a FROM s WHERE length(seq) >= {K}) SELECT id, substr(seq, a, {K}) AS kmer FROM a WHERE a + {K - 1} <= length(seq)",
+        "exon1_region": f"""WITH {_S}, m AS (SELECT id, seq, {_LAST('AAGGT', 'length(seq)')} AS m FROM s WHERE length(seq) > 0), e AS (SELECT *, CASE WHEN m > 0 AND m > length(seq) - 10 THEN m + 4 ELSE length(seq) END AS e FROM m),
+            f AS (SELECT *, {_FIRST(0, '1', '(e - 2)')} AS c0, {_FIRST(1, '1', '(e - 2)')} AS c1, {_FIRST(2, '1', '(e - 2)')} AS c2 FROM e),
+            a AS (SELECT *, CASE WHEN c0 IS NULL OR c1 IS NULL OR c2 IS NULL THEN 1 ELSE list_filter(range(1, e - 2, 3), lambda i: substr(seq, i, 3) = 'ATG')[1] END AS a FROM f)
+            SELECT id, (e - a + 1)::INT AS len, sha256(substr(seq, a, e - a + 1)) AS seq FROM a WHERE a IS NOT NULL""",
+        "exon2_region": f"WITH {_S}, {_EXON2} SELECT id, length(seq)::INT AS len, sha256(seq) AS seq FROM x2",
+        "kmer_trace": f"""WITH {_S}, {p}, {c}, {_NEIGHBOURS}, q AS (SELECT id, count(*) AS n_alts FROM alt GROUP BY id),
+            t AS (SELECT id, count(*) AS n, count(cnt) AS matched, coalesce(sum(cnt), 0)::BIGINT AS total FROM p{K} p LEFT JOIN c{K} c ON least(p.kmer, {_RC('p.kmer')}) = c.kmer GROUP BY id)
+            SELECT t.*, coalesce(n_alts, 0)::BIGINT AS n_alts FROM t LEFT JOIN q ON t.id = q.id""",
+        "alt_bases": f"WITH {_S}, {p}, {c}, {_NEIGHBOURS} SELECT id, pos::INT AS pos, side, base, cnt FROM alt",
+        "kmer_confirm": f"WITH {_S}, {p}, {c} SELECT id, count(*) FILTER (cnt IS NULL) AS missing, count(*) AS total FROM p{K} p LEFT JOIN c{K} c ON least(p.kmer, {_RC('p.kmer')}) = c.kmer GROUP BY id",
+        "kmer_successors": f"WITH {_S}, {p}, {c}, {_BOTH(K)} SELECT * FROM l",
+        "end_clusters": f"""WITH {_POINTS}, f AS (SELECT *, coalesce((pos - lag(pos) OVER w > 500)::INT, 0) AS gap FROM e WHERE pos >= 1 WINDOW w AS (PARTITION BY id, dir ORDER BY pos, prec)),
+            i AS (SELECT *, sum(gap) OVER (PARTITION BY id, dir ORDER BY pos, prec ROWS UNBOUNDED PRECEDING) AS island FROM f)
+            SELECT id, pos, dir, prec FROM (SELECT *, row_number() OVER (PARTITION BY id, dir, island ORDER BY prec, pos) AS k FROM i) WHERE k = 1""",
+        "region_union": f"""WITH {_REGIONS}, t AS (SELECT *, coalesce((lag(dir) OVER w <> dir)::INT, 0) AS turn FROM g WINDOW w AS (PARTITION BY id ORDER BY lo, hi DESC, dir)),
+            r AS (SELECT *, sum(turn) OVER (PARTITION BY id ORDER BY lo, hi DESC, dir ROWS UNBOUNDED PRECEDING) AS run FROM t),
+            m AS (SELECT *, max(hi) OVER (PARTITION BY id, run ORDER BY lo, hi DESC, dir ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM r),
+            k AS (SELECT *, sum((reach IS NULL OR reach < lo)::INT) OVER (PARTITION BY id, run ORDER BY lo, hi DESC, dir ROWS UNBOUNDED PRECEDING) AS grp FROM m)
+            SELECT id, coalesce(max(lo) FILTER (reach >= lo AND 500 <= 1 + reach - lo), min(lo)) AS lo, max(hi) AS hi, dir FROM k GROUP BY id, run, grp, dir""",
+        "interval_groups": f"""WITH {_REGIONS}, m AS (SELECT *, max(hi) OVER (PARTITION BY id ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM g),
+            k AS (SELECT *, sum((reach IS NULL OR lo > reach + 100)::INT) OVER (PARTITION BY id ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS grp FROM m)
+            SELECT id AS qry, min(lo) AS "start", max(hi) AS "end" FROM k GROUP BY id, grp HAVING max(hi) - min(lo) + 1 >= 2000""",
+        "cut_sections": f"""WITH {_S}, l AS (SELECT doc_id, quality * 90 + 10 AS a, 60 + toxic * 30 AS b FROM labels),
+            x AS (SELECT id, seq, a, b, greatest(1, least(a, b) - 5) AS lo, least(length(seq), greatest(a, b) + 5) AS hi FROM l JOIN s ON doc_id = id)
+            SELECT id AS contig, (CASE WHEN a > b THEN hi ELSE lo END)::INT AS "start", (CASE WHEN a > b THEN lo ELSE hi END)::INT AS "end",
+              CASE WHEN a > b THEN {_RC('substr(seq, lo, greatest(0, hi - lo + 1))')} ELSE substr(seq, lo, greatest(0, hi - lo + 1)) END AS seq FROM x""",
+        "first_seen": "SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY ALL",
+        "unique_path": "SELECT conv_id, turn, variant FROM (SELECT *, lead(variant) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM (SELECT conv_id, turn, CASE WHEN role = 'user' THEN 1 ELSE 2 END AS variant FROM conversations)) WHERE variant = 1 AND (nxt IS NULL OR nxt = 1)",
+        "n50": "WITH v AS (SELECT round(o_totalprice * 100)::BIGINT AS v FROM orders), r AS (SELECT v, sum(v) OVER (ORDER BY v DESC) AS t, sum(v) OVER () AS total FROM v) SELECT max(v) FILTER (t * 2 >= total) AS n50, count(*) AS n, sum(v)::BIGINT AS total FROM r",
+        "quantile": "WITH l AS (SELECT list_sort(list(l_quantity)) AS l, (count(*) - 1) * 0.37::DOUBLE AS at FROM lineitem) SELECT (l[floor(at)::BIGINT + 1] + l[ceil(at)::BIGINT + 1]) / 2 AS q FROM l",
+        "quantile_bins": "WITH c AS (SELECT l_quantity AS v, count(*) AS c FROM lineitem GROUP BY 1), t AS (SELECT *, sum(c) OVER (ORDER BY v) - c AS below, sum(c) OVER () AS n FROM c) SELECT (below * 7 // n)::INT AS bin, min(v) AS lo, max(v) AS hi, sum(c)::BIGINT AS size FROM t GROUP BY 1",
+        "describe": "SELECT l_returnflag, count(l_quantity) AS n, avg(l_quantity) AS mean, var_pop(l_quantity) AS variance, stddev_pop(l_quantity) AS sd, median(l_quantity) AS median FROM lineitem GROUP BY 1",
+        "least_squares": "SELECT l_returnflag, regr_slope(l_tax, l_quantity) AS slope, regr_intercept(l_tax, l_quantity) AS intercept FROM lineitem GROUP BY 1",
+        "pearson": "SELECT l_returnflag, corr(l_quantity, l_discount) AS r FROM lineitem GROUP BY 1",
+        "argmax_key": "SELECT l_suppkey, l_orderkey, l_quantity FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_quantity DESC, l_orderkey) AS k FROM lineitem) WHERE k = 1",
+        "tied_keys": "SELECT l_suppkey, string_agg(k::VARCHAR, ',' ORDER BY k) AS keys FROM (SELECT DISTINCT l_suppkey, l_orderkey AS k FROM (SELECT *, rank() OVER (PARTITION BY l_suppkey ORDER BY l_quantity DESC) AS r FROM lineitem) WHERE r = 1) GROUP BY 1",
+        "all_any": 'SELECT l_suppkey, bool_and(l_discount > 0.02) AS "all", bool_or(l_discount > 0.02) AS "any" FROM lineitem GROUP BY 1',
+        "classify_ends": f"WITH {_S} SELECT id, length(seq)::INT AS len, {' OR '.join(f'''prefix(seq, '{x}')''' for x in STARTS)} AS has_start, {' OR '.join(f'''suffix(seq, '{x}')''' for x in ENDS)} AS has_end FROM s",
+        "contained_pairs": f"WITH {_O} SELECT ref, CASE WHEN cov_r = 100 AND cov_q = 100 THEN 'equals' ELSE 'contains' END AS relation, qry FROM o WHERE idy >= 99 AND (cov_r = 100 AND cov_q = 100 OR s2 = 1 AND e2 = len_q)",
+        "inclusion_dedup": f"""WITH RECURSIVE {_O}, g AS (SELECT DISTINCT qry AS a, ref AS b FROM o WHERE idy * cov_q * 0.01 >= 95 AND ref <> qry), r AS (SELECT a, b FROM g UNION SELECT r.a, g.b FROM r JOIN g ON r.b = g.a),
+            gone AS (SELECT a FROM r WHERE a <> b AND (b < a OR NOT EXISTS (SELECT 1 FROM r q WHERE q.a = r.b AND q.b = r.a)))
+            SELECT id FROM (SELECT ref AS id FROM o UNION SELECT qry FROM o) WHERE id NOT IN (SELECT a FROM gone)""",
+        "unify": f"""WITH {_O}, cb AS (SELECT DISTINCT ref FROM o WHERE idy * cov_r * 0.01 >= 95), cr AS (SELECT DISTINCT qry FROM o WHERE idy * cov_q * 0.01 >= 95),
+            m AS (SELECT ref, max((qry NOT IN (SELECT qry FROM cr))::INT) AS two FROM o WHERE idy >= 99 AND cov_r >= 5 GROUP BY ref)
+            SELECT qry AS id, 0 AS level FROM (SELECT DISTINCT qry FROM o) UNION ALL
+            SELECT b.ref, CASE WHEN m.ref IS NULL THEN 0 WHEN two = 1 THEN 2 ELSE 1 END FROM (SELECT DISTINCT ref FROM o) b LEFT JOIN m ON b.ref = m.ref WHERE b.ref NOT IN (SELECT ref FROM cb)""",
+        "distance_matrix": f"""WITH {_O}, s AS (SELECT ref, qry, max(CASE WHEN s1 = 1 AND e1 >= len_r - 4 THEN idy ELSE 0 END) / 100 AS sim FROM o WHERE ref <> qry GROUP BY ALL),
+            b AS (SELECT ref AS a, qry AS b, sim FROM s UNION ALL SELECT qry, ref, sim FROM s)
+            SELECT a, b, 1 - sum(sim) * 0.5 AS d FROM b GROUP BY a, b UNION ALL SELECT id, id, 0 FROM (SELECT ref AS id FROM o UNION SELECT qry FROM o)""",
+        "consensus": f"""WITH {_S}, p AS (SELECT i, substr(seq, i, 1) AS b, count(*) AS n FROM s, range(1, 201) r(i) WHERE length(seq) >= 200 GROUP BY ALL),
+            k AS (SELECT i, b, row_number() OVER (PARTITION BY i ORDER BY n DESC, b) AS k FROM p) SELECT string_agg(b, '' ORDER BY i) AS seq FROM k WHERE k = 1 AND b <> '-'""",
+        "primer_pairs": f"""WITH {_S}, r AS (SELECT id, seq, {_RC('seq')} AS rc FROM s), f AS ({_PRIMER(PRIMERS_F, 'seq')}), b AS ({_PRIMER(PRIMERS_R, 'rc')})
+            SELECT f.id, f.which AS lo_primer, b.which AS hi_primer, count(*) AS n, min(b.n - b.p + 2 - f.p)::INT AS shortest, max(b.n - b.p + 2 - f.p)::INT AS longest
+            FROM f JOIN b ON f.id = b.id AND f.p < b.n - b.p + 1 GROUP BY ALL""",
+        "edit_distance": "SELECT p_partkey, (CASE WHEN levenshtein(p_name, p_type) > 12 THEN -1 ELSE levenshtein(p_name, p_type) END)::INT AS d FROM part",
+        "unitigs": f"""WITH RECURSIVE {_S}, {p}, {_C(K, 8)}, {_BOTH(K)}, i AS (SELECT dst AS k FROM l GROUP BY 1 HAVING count(*) = 1), o AS (SELECT src AS k FROM l GROUP BY 1 HAVING count(*) = 1),
+            e AS (SELECT src, dst FROM l WHERE src IN (SELECT k FROM o) AND dst IN (SELECT k FROM i)), a AS (SELECT src AS k FROM l UNION SELECT dst FROM l),
+            c AS (SELECT k AS head, k AS at, 1 AS n, k AS seq FROM a WHERE k NOT IN (SELECT dst FROM e) UNION ALL SELECT head, dst, n + 1, c.seq || right(dst, 1) FROM c JOIN e ON c.at = e.src)
+            SELECT head, max(n)::BIGINT AS n, sha256(arg_max(seq, n)) AS seq FROM c GROUP BY head""",
+    }
