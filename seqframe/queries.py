@@ -177,7 +177,7 @@ def oracle_sql() -> dict[str, str]:
         "first_seen": "SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY ALL",
         "unique_path": "SELECT conv_id, turn, variant FROM (SELECT *, lead(variant) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM (SELECT conv_id, turn, CASE WHEN role = 'user' THEN 1 ELSE 2 END AS variant FROM conversations)) WHERE variant = 1 AND (nxt IS NULL OR nxt = 1)",
         "n50": "WITH v AS (SELECT round(o_totalprice * 100)::BIGINT AS v FROM orders), r AS (SELECT v, sum(v) OVER (ORDER BY v DESC) AS t, sum(v) OVER () AS total FROM v) SELECT max(v) FILTER (t * 2 >= total) AS n50, count(*) AS n, sum(v)::BIGINT AS total FROM r",
-        "quantile": "WITH l AS (SELECT list_sort(list(l_quantity)) AS l, (count(*) - 1) * 0.37::DOUBLE AS at FROM lineitem) SELECT (l[floor(at)::BIGINT + 1] + l[ceil(at)::BIGINT + 1]) / 2 AS q FROM l",
+        "quantile": "WITH l AS (SELECT list_sort(list(l_quantity)) AS l, (count(*) - 1) * 0.37::DOUBLE AS w FROM lineitem) SELECT (l[floor(w)::BIGINT + 1] + l[ceil(w)::BIGINT + 1]) / 2 AS q FROM l",
         "quantile_bins": "WITH c AS (SELECT l_quantity AS v, count(*) AS c FROM lineitem GROUP BY 1), t AS (SELECT *, sum(c) OVER (ORDER BY v) - c AS below, sum(c) OVER () AS n FROM c) SELECT (below * 7 // n)::INT AS bin, min(v) AS lo, max(v) AS hi, sum(c)::BIGINT AS size FROM t GROUP BY 1",
         "describe": "SELECT l_returnflag, count(l_quantity) AS n, avg(l_quantity) AS mean, var_pop(l_quantity) AS variance, stddev_pop(l_quantity) AS sd, median(l_quantity) AS median FROM lineitem GROUP BY 1",
         "least_squares": "SELECT l_returnflag, regr_slope(l_tax, l_quantity) AS slope, regr_intercept(l_tax, l_quantity) AS intercept FROM lineitem GROUP BY 1",
@@ -205,6 +205,9 @@ def oracle_sql() -> dict[str, str]:
         "edit_distance": "SELECT p_partkey, (CASE WHEN levenshtein(p_name, p_type) > 12 THEN -1 ELSE levenshtein(p_name, p_type) END)::INT AS d FROM part",
         "unitigs": f"""WITH RECURSIVE {_S}, {p}, {_C(K, 8)}, {_BOTH(K)}, i AS (SELECT dst AS k FROM l GROUP BY 1 HAVING count(*) = 1), o AS (SELECT src AS k FROM l GROUP BY 1 HAVING count(*) = 1),
             e AS (SELECT src, dst FROM l WHERE src IN (SELECT k FROM o) AND dst IN (SELECT k FROM i)), a AS (SELECT src AS k FROM l UNION SELECT dst FROM l),
-            c AS (SELECT k AS head, k AS at, 1 AS n, k AS seq FROM a WHERE k NOT IN (SELECT dst FROM e) UNION ALL SELECT head, dst, n + 1, c.seq || right(dst, 1) FROM c JOIN e ON c.at = e.src)
-            SELECT head, max(n)::BIGINT AS n, sha256(arg_max(seq, n)) AS seq FROM c GROUP BY head""",
+            c AS (SELECT k AS head, k AS cur, 1 AS n, k AS seq FROM a WHERE k NOT IN (SELECT dst FROM e) UNION ALL SELECT head, dst, n + 1, c.seq || right(dst, 1) FROM c JOIN e ON c.cur = e.src),
+            g AS (SELECT k AS head, k AS cur, 1 AS n, k AS seq FROM a WHERE k NOT IN (SELECT cur FROM c) UNION ALL SELECT head, dst, n + 1, g.seq || right(dst, 1) FROM g JOIN e ON g.cur = e.src WHERE dst > head),
+            u AS (SELECT head, max(n)::BIGINT AS n, arg_max(seq, n) AS seq, arg_max(cur, n) AS last FROM g GROUP BY head)
+            SELECT head, max(n)::BIGINT AS n, sha256(arg_max(seq, n)) AS seq FROM c GROUP BY head
+            UNION ALL SELECT head, n, sha256(seq) FROM u WHERE EXISTS (SELECT 1 FROM e WHERE src = last AND dst = head)""",
     }
