@@ -34,9 +34,19 @@ TILE = 128
 BLOCK = 512
 NEIGHBOURS = 6
 ENTRY = np.dtype([("h", "<u8"), ("node", "<i8"), ("n", "<u4"), ("pos", "<u4")])
+#: Documents hashed at a time: a batch of long documents stays small in memory.
+AT_ONCE = 256
+#: Bits of the filter that tells which documents a check of candidates may need: 16 a document, 32 MB at most.
+FILTER_BITS = 1 << 28
 SETS_SQL = "doc_id long, n long, s1 long, s2 long, prefix binary, bits binary"
 
 
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(0, batch.num_rows, AT_ONCE):
+            yield batch.slice(i, AT_ONCE)
+
+
 def required(na: np.ndarray, nb: np.ndarray, num: int, den: int) -> np.ndarray:
     """The least overlap at which den * intersection >= num * union."""
     return -(-num * (na + nb) // (num + den))
@@ -98,7 +108,7 @@ def similar_groups(docs: DataFrame, words: int = 5, num: int = 80, den: int = 10
             kind[-1] = True
             yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(counts.astype(np.int64)), pa.array(kind)], ["h", "c", "total"])
 
-        for batch in batches:
+        for batch in sliced(batches):
             s, off = shingle_sets(batch["text"], words)
             seen.append(s)
             size, total = size + len(s), total + len(s)
@@ -122,7 +132,7 @@ def similar_groups(docs: DataFrame, words: int = 5, num: int = 80, den: int = 10
         return known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             s, off = shingle_sets(batch["text"], words)
             far, m = is_common(s), mix(s)
             with_all = np.concatenate([[U(0)], np.cumsum(m)]), np.concatenate([[U(0)], np.cumsum(mix(m ^ U(0x5851F42D4C957F2D)))])
@@ -316,17 +326,28 @@ def verified(pairs: DataFrame, sets: DataFrame, slim: DataFrame, words: int, num
     needed = likely.select(F.col("a").alias("node")).unionByName(likely.select(F.col("b").alias("node"))).distinct()
     needed = written(sets.join(needed, F.col("rid") == F.col("node")).select("node", "doc_id", "s1", "s2"), "needed")
 
+    bits = 1 << 15
+    while bits < min(FILTER_BITS, 16 * needed.count()):
+        bits *= 2
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    maybe = np.zeros(bits, bool)
+    for r in needed.select(place.alias("x")).groupBy(F.expr("x div 32768").alias("b")).agg(F.bitmap_construct_agg(F.col("x") % 32768).alias("m")).toLocalIterator():
+        maybe[r.b << 15 : (r.b + 1) << 15] = np.unpackbits(np.frombuffer(r.m, np.uint8), bitorder="little")
+    shared = slim.sparkSession.sparkContext.broadcast(np.packbits(maybe))
+
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        known = np.unpackbits(shared.value).astype(bool)
+        for batch in sliced(b.filter(pa.array(known[b["x"].to_numpy()])) for b in batches):
             s, off = shingle_sets(batch["text"], words)
             m = mix(s)
             x, y = np.concatenate([[U(0)], np.cumsum(m)]), np.concatenate([[U(0)], np.cumsum(mix(m ^ U(0x5851F42D4C957F2D)))])
-            at = [((v[off[1:]] - v[off[:-1]]).astype(np.int64) == batch[c].to_numpy()) for v, c in ((x, "s1"), (y, "s2"))]
+            sums = [pa.array((v[off[1:]] - v[off[:-1]]).astype(np.int64)) for v in (x, y)]
             data = pa.array([s[off[i] : off[i + 1]].tobytes() for i in range(len(off) - 1)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch["node"], data], ["node", "data"]).filter(pa.array(at[0] & at[1]))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], *sums, data], ["doc_id", "s1", "s2", "data"])
 
-    texts = slim.join(needed.withColumnRenamed("doc_id", "of"), F.col("doc_id") == F.col("of")).select("node", "s1", "s2", "text")
-    held = texts.mapInArrow(arrays, "node long, data binary").dropDuplicates(["node"])
+    made = slim.select("doc_id", "text", place.alias("x")).mapInArrow(arrays, "doc_id long, s1 long, s2 long, data binary")
+    of = needed.select("node", F.col("doc_id").alias("k0"), F.col("s1").alias("k1"), F.col("s2").alias("k2"))
+    held = made.join(of, (F.col("doc_id") == F.col("k0")) & (F.col("s1") == F.col("k1")) & (F.col("s2") == F.col("k2"))).select("node", "data").dropDuplicates(["node"])
     held = written(held, "arrays")
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
