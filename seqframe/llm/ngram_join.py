@@ -260,7 +260,10 @@ def similar_groups(docs: DataFrame, words: int = 5, num: int = 80, den: int = 10
     )
     mixed = labelled.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select(F.col("h").alias("of_h"))
     open_ = labelled.join(mixed, F.col("h") == F.col("of_h")).drop("of_h")
-    open_ = written(open_.join(sets.select(F.col("rid").alias("of"), "bits"), F.col("node") == F.col("of")).drop("of"), "open")
+    # a pair of nodes is tested in one tile only, the smallest that both lie in
+    held_in = open_.groupBy(F.col("node").alias("n_of")).agg(F.array_sort(F.collect_list("h")).alias("tiles"))
+    open_ = open_.join(sets.select(F.col("rid").alias("of"), "bits"), F.col("node") == F.col("of")).drop("of")
+    open_ = written(open_.join(held_in, F.col("node") == F.col("n_of")).drop("n_of"), "open")
     if not open_.isEmpty():
         split = written(open_.groupBy("h", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k")), "blocks")
         here = split.select(F.col("h").alias("h1"), F.col("band").alias("b1"), "k")
@@ -279,6 +282,7 @@ def similar_groups(docs: DataFrame, words: int = 5, num: int = 80, den: int = 10
         def block(table: pa.Table) -> pa.Table:
             node, comp, n = (table[c].to_numpy() for c in ("node", "comp", "n"))
             bnd, salt, bits = table["band"].to_numpy(), table["s"].to_numpy(), table["bits"].to_pylist()
+            here, tiles_of = table["h"][0].as_py(), [frozenset(x) for x in table["tiles"].to_pylist()]
             t = table["t"][0].as_py()
             left = (bnd == t["band_a"]) & (salt == t["s_a"])
             right = (bnd == t["band_b"]) & (salt == t["s_b"])
@@ -288,12 +292,12 @@ def similar_groups(docs: DataFrame, words: int = 5, num: int = 80, den: int = 10
             for i in np.flatnonzero(left):
                 j = js[(comp[js] != comp[i]) & (np.minimum(n[js], n[i]) * den >= np.maximum(n[js], n[i]) * num)]
                 for q in j[j > i] if alone else j:
-                    if may_link(bits[i], bits[q], int(n[i]), int(n[q]), num, den):
+                    if min(tiles_of[i] & tiles_of[q]) == here and may_link(bits[i], bits[q], int(n[i]), int(n[q]), num, den):
                         a.append(min(node[i], node[q]))
                         b.append(max(node[i], node[q]))
             return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-        rest = x.select("h", "t", "node", "comp", "n", "band", "s", "bits").groupBy("h", "t").applyInArrow(block, "a long, b long").distinct()
+        rest = x.select("h", "t", "node", "comp", "n", "band", "s", "bits", "tiles").groupBy("h", "t").applyInArrow(block, "a long, b long").distinct()
         more = verified(written(rest, "rest"), sets, slim, words, num, den)
         known = components(more, known) if not more.isEmpty() else known
         known = components(links.unionByName(more), known) if not more.isEmpty() else known
