@@ -4,8 +4,8 @@ Two zstandard dictionaries are trained on a bounded sample of labelled documents
 and one on toxic passages (the words that make toxic documents differ from ordinary ones, found by a
 greedy cover of the toxic documents with word beginnings). Each window of a text is compressed with the
 ordinary dictionary and with both; where the toxic passages save at least ``window_gain`` bytes, the
-same is done word by word, and words that save at least ``word_gain`` bytes count as hits. Both
-thresholds are calibrated on the sample's ordinary documents, and a logistic curve over the number of
+same is done word by word, and words that save at least ``word_gain`` bytes count as hits. The
+word threshold is calibrated on the sample's documents, and a logistic curve over the number of
 hits and words turns them into a score.
 """
 
@@ -30,8 +30,6 @@ WINDOW = 24
 BEGINNING = (5, 10)
 PASSAGES = 256
 THRESHOLD = 0.3
-#: Ordinary words of the sample that may reach ``word_gain``.
-FALSE_WORDS = 2e-4
 NOT_WORD = re.compile(rb"[^a-z\x80-\xff]+")
 
 
@@ -40,9 +38,10 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def _compressor(content: bytes, level: int) -> zstandard.ZstdCompressor:
-    strategy, shortest = (zstandard.STRATEGY_LAZY2, 4) if level == 1 else (zstandard.STRATEGY_BTOPT, 3)
+    # chains and trees must reach back over the whole dictionary
+    strategy, shortest, log = (zstandard.STRATEGY_LAZY2, 4, 13) if level == 1 else (zstandard.STRATEGY_BTOPT, 3, 14)
     params = zstandard.ZstdCompressionParameters(
-        window_log=15, strategy=strategy, min_match=shortest, search_log=5, chain_log=12, hash_log=12, target_length=32,
+        window_log=15, strategy=strategy, min_match=shortest, search_log=5, chain_log=log, hash_log=log, target_length=32,
         write_content_size=False, write_checksum=False, write_dict_id=False,
     )
     return zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=params)
@@ -54,7 +53,7 @@ class Model:
 
     ordinary: bytes
     toxic: bytes
-    window_gain: int = 3
+    window_gain: int = 2
     word_gain: int = 4
     weights: tuple[float, ...] = (-4.0, 0.0, 0.0, 0.0)
 
@@ -75,7 +74,7 @@ class Model:
         if word not in known:
             if len(known) > 200_000:
                 known.clear()
-            x = self.ordinary[:48] + b" " + word + b" "
+            x = self.ordinary[:32] + b" " + word + b" " + self.ordinary[64:96]
             known[word] = len(plain.compress(x)) - len(both.compress(x))
         return known[word]
 
@@ -85,7 +84,8 @@ class Model:
         plain, both = self.tools()[:2]
         n = 0
         for i in range(0, len(words), WINDOW):
-            x = b" " + b" ".join(words[i : i + WINDOW]) + b" "
+            # the last bytes of a block are never matched: known text follows the window
+            x = b" " + b" ".join(words[i : i + WINDOW]) + b" " + self.ordinary[64:96]
             if len(plain.compress(x)) - len(both.compress(x)) >= self.window_gain:
                 n += sum(self.word_saving(w) >= self.word_gain for w in words[i : i + WINDOW])
         return n
@@ -121,8 +121,8 @@ def toxic_passages(toxic: list[set[bytes]], ordinary: list[set[bytes]]) -> list[
             where[x].append(i)
     value, picked = np.ones(len(toxic)), []
     while open_ and len(picked) < PASSAGES:
-        gain = {x: value[where[x]].sum() for x in open_}
-        best = max(open_, key=lambda x: (gain[x], -len(x), x))
+        gain = {x: value[where[x]].sum() - 3 * plain[x] for x in open_}
+        best = max(open_, key=lambda x: (gain[x], len(x), x))
         if gain[best] < least:
             break
         picked.append(best)
@@ -147,18 +147,21 @@ def fit(rows: list[tuple[str, int]]) -> Model:
         trained = zstandard.train_dictionary(4096, forms * 40, k=32, d=6).as_bytes()[-1024:] if len(forms) > 400 else b""
     except zstandard.ZstdError:
         trained = b""
-    model = Model(ordinary.ljust(64), trained + b"".join(forms))
+    model = Model(ordinary.ljust(96), trained + b"".join(forms))
     rate = (len(toxic) + 0.5) / (len(split) + 1)
     model.weights = (math.log(rate / (1 - rate)), 0.0, 0.0, 0.0)
     if not forms:
         return model
-    gains = Counter()
-    for w in plain[:1000]:
-        gains.update(model.word_saving(x) for x in w)
-    total = sum(gains.values())
-    model.word_gain = next(g for g in range(3, 99) if sum(n for k, n in gains.items() if k >= g) <= FALSE_WORDS * total)
+    # the word threshold that tells the sample's documents apart best (F1 of "has a hit"; the lowest of equals)
+    best = [max((model.word_saving(x) for x in set(w)), default=0) for w, _ in split]
+    y = np.array([float(label) for _, label in split])
+
+    def f1(g: int) -> float:
+        hit = np.array(best) >= g
+        return 2 * float((hit * y).sum()) / max(1.0, float(hit.sum() + y.sum()))
+
+    model.word_gain = max(range(2, 16), key=lambda g: (f1(g), -g))
     x = np.array([features(model.hits(w), len(w)) for w, _ in split])
-    y = np.array([float(l) for _, l in split])
     b = np.zeros(x.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
