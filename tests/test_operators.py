@@ -72,9 +72,9 @@ def test_inclusions(spark, rows, kept):
 
 
 def test_chains_break_cycles_at_the_smallest(spark):
-    links = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "y"), ("y", "z"), ("z", "x"), *[(f"r{i}", f"r{(i + 1) % 4}") for i in range(4)], ("c", "d"), ("c", "e")], "src string, dst string")
+    links = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "y"), ("y", "z"), ("z", "x"), *[(f"r{i}", f"r{(i + 1) % 4}") for i in range(4)], ("o", "o"), ("c", "d"), ("c", "e")], "src string, dst string")
     got = {r.node: (r.head, r.place) for r in graph.chains(links).collect()}
-    assert got["c"] == ("a", 2) and got["d"] == ("d", 0) and got["x"] == ("x", 0) and got["z"] == ("x", 2) and got["r3"] == ("r0", 3)
+    assert got["c"] == ("a", 2) and got["d"] == ("d", 0) and got["x"] == ("x", 0) and got["z"] == ("x", 2) and got["r3"] == ("r0", 3) and got["o"] == ("o", 0)
 
 
 def test_walk_reasons(spark):
