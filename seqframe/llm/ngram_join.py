@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqframe.llm.components import components
+from seqframe.llm.components import components, merged
 from seqframe.llm.scratch import written
 from seqframe.llm.substring_dedup import ASK_SQL, cut, packed
 from seqframe.llm.tokens import U, mix, shingle_sets
@@ -299,8 +299,7 @@ def similar_groups(docs: DataFrame, words: int = 5, num: int = 80, den: int = 10
 
         rest = x.select("h", "t", "node", "comp", "n", "band", "s", "bits", "tiles").groupBy("h", "t").applyInArrow(block, "a long, b long").distinct()
         more = verified(written(rest, "rest"), sets, slim, words, num, den)
-        known = components(more, known) if not more.isEmpty() else known
-        known = components(links.unionByName(more), known) if not more.isEmpty() else known
+        known = merged(known, more)
 
     own = classes.join(known.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select(
         "s1", "s2", "n", "node", F.coalesce("comp", "node").alias("comp"), "first_doc"
