@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqframe.functions.sequence import canonical, dna_of, reverse_complement, translate_codon
-from seqframe.operators import graph, intervals, kmers, relational, scans, stats
+from seqframe.operators import cluster, graph, intervals, kmers, relational, scans, stats
 
 K = 31
 PRIMERS_F, PRIMERS_R = ["ACGTCAT", "TTGCAAT"], ["GATTGCA", "CATTGCA"]
@@ -99,6 +99,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "inclusion_dedup": lambda s, d: graph.remove_inclusions(overlaps(s, d)),
         "unify": lambda s, d: relational.unify(overlaps(s, d).select(F.col("ref").alias("id")).distinct(), overlaps(s, d).select(F.col("qry").alias("id")).distinct(), overlaps(s, d)),
         "distance_matrix": lambda s, d: relational.distance_matrix(overlaps(s, d)),
+        "complete_linkage": lambda s, d: cluster.cluster(relational.distance_matrix(overlaps(s, d)), 0.5),
         "consensus": lambda s, d: relational.consensus(seq(s, d).where(F.length("seq") >= 200).select("id", F.substring("seq", 1, 200).alias("seq"))),
         "primer_pairs": lambda s, d: relational.primer_pairs(seq(s, d), PRIMERS_F, PRIMERS_R).groupBy("id", "lo_primer", "hi_primer").agg(F.count("*").alias("n"), F.min("len").alias("shortest"), F.max("len").alias("longest")),
         "edit_distance": lambda s, d: table(s, d, "part").select("p_partkey", F.levenshtein("p_name", "p_type", 12).alias("d")),

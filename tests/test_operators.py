@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqframe.functions.sequence import canonical, is_stop, reverse_complement, translate_codon
-from seqframe.operators import graph, intervals, kmers, relational, scans, stats
+from seqframe.operators import cluster, graph, intervals, kmers, relational, scans, stats
 from seqframe.sources import tables
 
 
@@ -120,3 +120,10 @@ def test_fasta_round_trip(spark, tmp_path):
     tables.write_fasta(x.coalesce(1), f"{tmp_path}/f")
     got = tables.read_fasta(spark, f"{tmp_path}/f").orderBy("ord").collect()
     assert [(r.id, r.desc, r.seq) for r in got] == [("a", "first >x", "ACGT" * 40), ("b", "", "AC")]
+
+
+def test_complete_linkage(spark):
+    near = {("a", "b"): 0.01, ("b", "c"): 0.015, ("a", "c"): 0.03, ("d", "e"): 0.02}
+    rows = [(a, b, d) for (a, b), d in near.items()] + [(b, a, d) for (a, b), d in near.items()] + [(x, x, 0.0) for x in "abcdef"]
+    got = cluster.cluster(spark.createDataFrame(rows, "a string, b string, d double")).collect()
+    assert sorted((r.members, r.centroid) for r in got) == [("a b", "a"), ("c", "c"), ("d e", "d"), ("f", "f")]
