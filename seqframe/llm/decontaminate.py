@@ -1,16 +1,16 @@
 """Finding benchmark items in documents.
 
-Words are compared without case (A to Z) and ASCII punctuation. Every window of a document as long as an
-item, and sharing at least one five-word shingle with it, gets a 64-bit SimHash of its weighted
-shingles; a window without a common shingle cannot be similar, so nothing is lost. Fingerprints are cut
-into RADIUS + 1 blocks: two within the radius agree in a block, so looking blocks up finds all of them.
-Candidates are decided by exact weights: the share of the item's shingle weight that the window holds.
+Words are compared without case (A to Z) and ASCII punctuation. An item is found where a window as long as
+the item holds at least SIMILARITY of the item's shingle weight (distinct five-word shingles, rare ones
+weigh more). Items whose shingles in the whole text weigh too little are left out, which loses nothing, as
+no window holds more than the text; for the others all windows are weighed exactly. The best window's
+64-bit SimHash and the item's, both of distinct weighted shingles, give the reported distance. They are no
+filter: a sum near zero may turn over by a small change, so no radius below 64 keeps all windows at 0.8.
 """
 
 from __future__ import annotations
 
 import math
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -21,16 +21,15 @@ from pyspark.sql import functions as F
 
 from seqframe.llm.tokens import SPACE_OR_MARK, U, mix, rolling, span, windows, word_hashes
 
-WORDS, SIMILARITY, RADIUS, BITS = 5, 0.8, 26, 64
+WORDS, SIMILARITY, BITS = 5, 0.8, 64
 #: Items are held in memory in blocks of so many; each block reads the documents once.
 ITEMS_A_BLOCK = 20_000
-BOUNDS = [round(i * BITS / (RADIUS + 1)) for i in range(RADIUS + 2)]
 FOUND_SQL = "doc_id long, item_id long, similarity double, word_start long, n_words long, distance int"
 
 
 @dataclass
 class Items:
-    """Benchmark items by shingle, and their fingerprints by length and block."""
+    """Benchmark items by shingle, and their fingerprints. Shingles are places in ``known``."""
 
     ids: list[int]
     sizes: list[int]
@@ -38,10 +37,11 @@ class Items:
     whole: dict[int, list[int]] = field(default_factory=dict)
     known: np.ndarray = field(default_factory=lambda: np.zeros(0, U))
     weight: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    holders: dict[int, list[int]] = field(default_factory=dict)
+    holders: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    held_from: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
+    total: np.ndarray = field(default_factory=lambda: np.zeros(0))
     other: float = 1.0
     prints: list[int] = field(default_factory=list)
-    blocks: dict[tuple[int, int, int], list[int]] = field(default_factory=dict)
     bloom: np.ndarray = field(default_factory=lambda: np.zeros(1 << 20, bool))
 
 
@@ -49,13 +49,10 @@ def signs(shingles: np.ndarray) -> np.ndarray:
     return np.unpackbits(mix(shingles).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).astype(np.int8) * 2 - 1
 
 
-def fingerprints(total: np.ndarray) -> np.ndarray:
-    """64 weighted sums a row, as one number."""
-    return np.packbits(total > 0, axis=1).view(">u8").ravel().astype(U)
-
-
-def piece(value: int, i: int) -> int:
-    return (value >> BOUNDS[i]) & ((1 << (BOUNDS[i + 1] - BOUNDS[i])) - 1)
+def fingerprint(shingles: np.ndarray, weight: np.ndarray) -> int:
+    """The signs of 64 weighted sums over distinct shingles, as one number."""
+    total = (signs(shingles) * weight[:, None]).sum(axis=0)
+    return int(np.packbits(total > 0).view(">u8")[0])
 
 
 def prepare(rows: list[tuple[int, str]]) -> Items:
@@ -72,19 +69,36 @@ def prepare(rows: list[tuple[int, str]]) -> Items:
         items.weight = 1 + np.log(len(rows) / df)
     items.other = 1 + math.log(max(1, len(rows)))
     items.bloom[(items.known & U((1 << 20) - 1)).astype(np.int64)] = True
-    holders = defaultdict(list)
-    for k, s in enumerate(items.shingles):
-        for x in s.tolist():
-            holders[x].append(k)
-        total = (signs(s) * items.weight[np.searchsorted(items.known, s)][:, None]).sum(axis=0, keepdims=True) if len(s) else np.zeros((1, BITS))
-        items.prints.append(int(fingerprints(total)[0]))
-        if len(s):
-            for i in range(RADIUS + 1):
-                items.blocks.setdefault((items.sizes[k], i, piece(items.prints[k], i)), []).append(k)
-    items.holders = dict(holders)
+    if len(items.known):
+        items.shingles = [np.searchsorted(items.known, x) for x in items.shingles]
+        of = np.repeat(np.arange(len(rows)), [len(x) for x in items.shingles])
+        every = np.concatenate(items.shingles)
+        items.holders = of[np.argsort(every, kind="stable")]
+        items.held_from = np.concatenate([[0], np.cumsum(np.bincount(every, minlength=len(items.known)))])
+    items.total = np.array([items.weight[x].sum() if len(x) else 0.0 for x in items.shingles])
+    items.prints = [fingerprint(items.known[x], items.weight[x]) if len(x) else 0 for x in items.shingles]
     return items
 
 
+def best_window(item: np.ndarray, weight: np.ndarray, at: np.ndarray, which: np.ndarray, width: int, last: int) -> tuple[float, int]:
+    """(weight, start) of the window that holds most of an item's distinct shingles, the first of equals.
+
+    at, which: ascending places of the item's shingles in a text; a window covers ``width`` places and starts at 0 to ``last``.
+    """
+    order = np.argsort(which, kind="stable")
+    before = np.full(len(at), -1)
+    again = np.flatnonzero(which[order][1:] == which[order][:-1]) + 1
+    before[order[again]] = at[order[again - 1]]
+    # a place counts for the starts that reach it and begin after the same shingle's place before
+    lo, hi = np.maximum(before + 1, np.maximum(at - width + 1, 0)), np.minimum(at, last)
+    lo, hi, w = lo[lo <= hi], hi[lo <= hi], weight[which[lo <= hi]]
+    starts, place = np.unique(np.concatenate([lo, hi + 1]), return_inverse=True)
+    held = np.cumsum(np.bincount(place, np.concatenate([w, -w]), len(starts)))
+    start = int(starts[np.argmax(held >= held.max() - 1e-9 * weight[item].sum())])
+    inside = which[np.searchsorted(at, start) : np.searchsorted(at, start + width)]
+    return float(weight[item[np.isin(item, inside)]].sum()), start
+
+
 def search(items: Items, texts: pa.Array) -> list[tuple[int, int, float, int, int]]:
     """(row, item, similarity, first word, distance) of the best window of each item found in each text."""
     wh, off = word_hashes(texts, True, SPACE_OR_MARK)
@@ -99,38 +113,29 @@ def search(items: Items, texts: pa.Array) -> list[tuple[int, int, float, int, in
     sh = span(sums, at, at + WORDS)
     hit = np.flatnonzero(items.bloom[(sh & U((1 << 20) - 1)).astype(np.int64)])
     where = np.minimum(np.searchsorted(items.known, sh[hit]), len(items.known) - 1)
-    hit = hit[items.known[where] == sh[hit]]
+    same = items.known[where] == sh[hit]
+    hit, where = hit[same], where[same]
     doc = np.searchsorted(off, at[hit], side="right") - 1
-    for row in np.unique(doc).tolist():
-        base, end = int(off[row]), int(off[row + 1])
-        starts = defaultdict(set)  # by item length: windows with a common shingle
-        for i in hit[doc == row].tolist():
-            p = int(at[i]) - base
-            for n in {items.sizes[k] for k in items.holders[int(sh[i])]}:
-                starts[n].update(range(max(0, p + WORDS - n), min(p, max(0, end - base - n)) + 1))
-        first = int(np.searchsorted(at, base))
-        own = sh[first : first + max(0, end - base - WORDS + 1)]
-        pos = np.minimum(np.searchsorted(items.known, own), len(items.known) - 1)
-        w = np.where(items.known[pos] == own, items.weight[pos], items.other)
-        best: dict[int, tuple[float, int, int]] = {}
-        for n, s in starts.items():
-            s = np.array(sorted(s))
-            lo, hi = int(s[0]), min(len(own), int(s[-1]) + n - WORDS + 1)
-            total = np.zeros((hi - lo + 1, BITS))
-            np.cumsum(signs(own[lo:hi]) * w[lo:hi, None], axis=0, out=total[1:])
-            prints = fingerprints(total[np.minimum(s + n - WORDS + 1, hi) - lo] - total[s - lo]).tolist()
-            for start, fp in zip(s.tolist(), prints, strict=True):
-                near = {k for i in range(RADIUS + 1) for k in items.blocks.get((n, i, piece(fp, i)), ())}
-                for k in near:
-                    far = (fp ^ items.prints[k]).bit_count()
-                    if far > RADIUS:
-                        continue
-                    x = items.shingles[k]
-                    wx = items.weight[np.searchsorted(items.known, x)]
-                    share = float(wx[np.isin(x, own[start : start + n - WORDS + 1])].sum() / wx.sum())
-                    if share >= SIMILARITY - 1e-9 and (k not in best or (share, -start) > (best[k][0], -best[k][1])):
-                        best[k] = (share, start, far)
-        out += [(row, k, *v) for k, v in sorted(best.items())]
+    begins = np.flatnonzero(np.diff(doc, prepend=-1))
+    for row, lo, hi in zip(doc[begins].tolist(), begins.tolist(), [*begins[1:].tolist(), len(doc)], strict=True):
+        base, length = int(off[row]), int(off[row + 1] - off[row])
+        places, which = at[hit[lo:hi]] - base, where[lo:hi]
+        have = np.unique(which)
+        n = items.held_from[have + 1] - items.held_from[have]
+        owners = items.holders[np.repeat(items.held_from[have] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        some, owner = np.unique(owners, return_inverse=True)
+        in_text = np.bincount(owner, np.repeat(items.weight[have], n))
+        own = sh[hit[lo] - int(places[0]) :][: length - WORDS + 1]
+        for k in some[in_text >= (SIMILARITY - 1e-9) * items.total[some]].tolist():
+            x, width = items.shingles[k], items.sizes[k] - WORDS + 1
+            mine = np.isin(which, x)
+            held, start = best_window(x, items.weight, places[mine], which[mine], width, max(0, length - items.sizes[k]))
+            share = held / float(items.weight[x].sum())
+            if share >= SIMILARITY - 1e-9:
+                window = np.unique(own[start : start + width])
+                pos = np.minimum(np.searchsorted(items.known, window), len(items.known) - 1)
+                fp = fingerprint(window, np.where(items.known[pos] == window, items.weight[pos], items.other))
+                out.append((row, k, share, start, (fp ^ items.prints[k]).bit_count()))
     return out
 
 

@@ -198,6 +198,25 @@ def test_no_items_or_documents(spark):
     assert decontaminate.find_items(docs(spark), none).count() == 0
 
 
+def test_verbatim_items_with_repeats_against_all_windows():
+    rng = random.Random(12)
+    items = [(i, " ".join(rng.sample(prose(rng, n).split(), n) + [w] * m)) for i, (n, m, w) in enumerate([(30, 30, "0"), (60, 60, "0"), (30, 10, "x"), (40, 80, "1"), (8, 50, "0")] * 4)]
+    texts = [f"{prose(rng, 50)} {t} {prose(rng, 50)}" for _, t in items] + [t for _, t in items] + ["0 " * 200, prose(rng, 90)]
+    shingles = lambda w: {tuple(w[j : j + 5]) for j in range(len(w) - 4)}
+    own = [shingles(t.split()) for _, t in items]
+    weight = {x: 1 + np.log(len(items) / sum(x in s for s in own)) for s in own for x in s}
+    want = {}
+    for d, t in enumerate(texts):
+        w = t.split()
+        for i, s in enumerate(own):
+            n, total = len(items[i][1].split()), sum(weight[x] for x in s)
+            share, at = max((round(sum(weight[x] for x in s & shingles(w[p : p + n])) / total, 6), -p) for p in range(max(1, len(w) - n + 1)))
+            if share >= 0.8:
+                want[d, i] = (share, -at)
+    got = {(row, k): (round(share, 6), at) for row, k, share, at, _ in decontaminate.search(decontaminate.prepare(items), pa.array(texts))}
+    assert got == want and {(i, i) for i in range(20)} | {(i + 20, i) for i in range(20)} <= set(got)
+
+
 # HTML
 
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{{}}</style><script>var x="</p><article>no</article>";</script></head>
