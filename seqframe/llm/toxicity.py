@@ -1,11 +1,12 @@
-"""Toxicity by compression distance.
-
-Two zstandard dictionaries are trained on a bounded sample of labelled documents: one on ordinary text,
-and one on toxic passages (the words that make toxic documents differ from ordinary ones, found by a
-greedy cover of the toxic documents with word beginnings). Each window of a text is compressed with the
-ordinary dictionary and with both; where the toxic passages save at least ``window_gain`` bytes, the
-same is done word by word, and words that save at least ``word_gain`` bytes count as hits. The
-word threshold is calibrated on the sample's documents, and a logistic curve over the number of
+"""Toxicity by a word lexicon, matched by compression.
+
+Both are learnt from a bounded sample of labelled documents: a zstandard dictionary trained on windows of
+ordinary text, and a lexicon of the words that make toxic documents differ from ordinary ones (found by a
+greedy cover of the toxic documents with word beginnings). No dictionary is trained on toxic windows: they
+are ordinary text but for a few words, and README gives figures of that way. Each window of a text is
+compressed with the ordinary dictionary and with both; where the lexicon saves at least ``window_gain``
+bytes, the same is done word by word, and words that save at least ``word_gain`` bytes count as hits. Both
+thresholds are calibrated together on the sample's documents, and a logistic curve over the number of
 hits and words turns them into a score.
 """
 
@@ -30,6 +31,8 @@ WINDOW = 24
 BEGINNING = (5, 10)
 PASSAGES = 256
 THRESHOLD = 0.3
+#: Thresholds that are tried, in bytes.
+WINDOW_GAINS, WORD_GAINS = range(1, 16), range(2, 16)
 NOT_WORD = re.compile(rb"[^a-z\x80-\xff]+")
 
 
@@ -78,17 +81,18 @@ class Model:
             known[word] = len(plain.compress(x)) - len(both.compress(x))
         return known[word]
 
-    def hits(self, words: list[bytes]) -> int:
-        if not self.toxic:
-            return 0
+    def windows(self, words: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
+        """Bytes that the lexicon saves on each window, and the window's words."""
         plain, both = self.tools()[:2]
-        n = 0
         for i in range(0, len(words), WINDOW):
             # the last bytes of a block are never matched: known text follows the window
             x = b" " + b" ".join(words[i : i + WINDOW]) + b" " + self.ordinary[64:96]
-            if len(plain.compress(x)) - len(both.compress(x)) >= self.window_gain:
-                n += sum(self.word_saving(w) >= self.word_gain for w in words[i : i + WINDOW])
-        return n
+            yield len(plain.compress(x)) - len(both.compress(x)), words[i : i + WINDOW]
+
+    def hits(self, words: list[bytes]) -> int:
+        if not self.toxic:
+            return 0
+        return sum(sum(self.word_saving(w) >= self.word_gain for w in part) for saved, part in self.windows(words) if saved >= self.window_gain)
 
     def score(self, text: str | None) -> float:
         words = words_of(text)
@@ -132,6 +136,21 @@ def toxic_passages(toxic: list[set[bytes]], ordinary: list[set[bytes]]) -> list[
     return [f for f, _ in sorted(forms.items(), key=lambda x: (x[1], x[0]))][-600:]
 
 
+def thresholds(model: Model, docs: list[list[bytes]], y: np.ndarray) -> tuple[int, int]:
+    """The window and word thresholds that tell documents apart best (F1 of "has a hit"; the lowest of equals)."""
+    best = np.zeros((len(docs), WINDOW_GAINS.stop), int)  # the largest word saving in windows that save so much
+    for i, words in enumerate(docs):
+        for saved, part in model.windows(words):
+            top = max(saved + 1, 0)
+            best[i, :top] = np.maximum(best[i, :top], max(map(model.word_saving, part)))
+
+    def f1(window: int, word: int) -> float:
+        hit = best[:, window] >= word
+        return 2 * float((hit * y).sum()) / max(1.0, float(hit.sum() + y.sum()))
+
+    return max(((a, b) for a in WINDOW_GAINS for b in WORD_GAINS), key=lambda g: (f1(*g), -g[0], -g[1]))
+
+
 def fit(rows: list[tuple[str, int]]) -> Model:
     """A model from (text, label) rows, the same whatever their order."""
     rows = sorted(rows, key=lambda r: (zlib.crc32((r[0] or "").encode()), r[0] or "", r[1]))
@@ -143,24 +162,13 @@ def fit(rows: list[tuple[str, int]]) -> Model:
     except zstandard.ZstdError:  # too little text
         ordinary = b"".join(windows)[:6000]
     forms = toxic_passages([set(w) for w in toxic], [set(w) for w in plain]) if toxic and plain else []
-    try:
-        trained = zstandard.train_dictionary(4096, forms * 40, k=32, d=6).as_bytes()[-1024:] if len(forms) > 400 else b""
-    except zstandard.ZstdError:
-        trained = b""
-    model = Model(ordinary.ljust(96), trained + b"".join(forms))
+    model = Model(ordinary.ljust(96), b"".join(forms))
     rate = (len(toxic) + 0.5) / (len(split) + 1)
     model.weights = (math.log(rate / (1 - rate)), 0.0, 0.0, 0.0)
     if not forms:
         return model
-    # the word threshold that tells the sample's documents apart best (F1 of "has a hit"; the lowest of equals)
-    best = [max((model.word_saving(x) for x in set(w)), default=0) for w, _ in split]
     y = np.array([float(label) for _, label in split])
-
-    def f1(g: int) -> float:
-        hit = np.array(best) >= g
-        return 2 * float((hit * y).sum()) / max(1.0, float(hit.sum() + y.sum()))
-
-    model.word_gain = max(range(2, 16), key=lambda g: (f1(g), -g))
+    model.window_gain, model.word_gain = thresholds(model, [w for w, _ in split], y)
     x = np.array([features(model.hits(w), len(w)) for w, _ in split])
     b = np.zeros(x.shape[1])
     for _ in range(50):

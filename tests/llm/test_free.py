@@ -155,6 +155,28 @@ def test_toxicity_held_out(spark, data):
     assert toxicity.toxicity_table(docs(spark), labels).count() == 0
 
 
+def test_lexicon_and_thresholds_come_from_the_sample():
+    rng, rows = random.Random(8), []
+    tails = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(500)]
+    for i in range(1500):
+        w = prose(rng, 40).split()
+        if i % 3 == 0:
+            w[rng.randrange(len(w))] = "vilestem" + tails[i % 500]
+        rows.append((" ".join(w), int(i % 3 == 0)))
+    split = [(toxicity.words_of(t), y) for t, y in rows]
+    forms = toxicity.toxic_passages([set(w) for w, y in split if y], [set(w) for w, y in split if not y])
+    model = toxicity.fit(rows)
+    assert len(forms) > 400 and sorted(model.toxic.split()) == sorted(b"".join(forms).split())
+
+    def f1(m):
+        hit = [m.hits(w) > 0 for w, _ in split]
+        return 2 * sum(h and y for h, (_, y) in zip(hit, split)) / max(1, sum(hit) + sum(y for _, y in split))
+
+    best = f1(model)
+    for model.window_gain in (1, 2, 4, 8, 12):
+        assert f1(model) <= best + 1e-9
+
+
 # decontamination
 
 
