@@ -1,12 +1,11 @@
 """Main text of web pages by template deduction from equivalence classes.
 
 Each element of a page gives two tokens, its start and its end, told apart by the path of elements
-above. Tokens of a host's pages that occur in the same pages equally often (they share an occurrence
-vector, of which a hash is summed up page by page) form an equivalence class. A class is valid when it
-occurs once a page and holds both ends of its elements, so that valid classes nest as the elements do;
-together they are the template of the host. What lies between their tokens are slots. The slots that can
-hold the main text are ranked over all pages of the host, and each page gives the text in the first of
-these that it has, without the parts that pages put around an article.
+above. On a page, a path is valid when both tokens occur once, so that valid paths nest as the elements do;
+one odd page takes nothing from the others. What lies between the tokens are slots. Equal paths of a host's
+pages form a class; names (an id, a word of a class) that only one page of the host has are left out of the
+path first. Classes are ranked by sums over all pages of the host, and each page gives the text in the best
+ranked of its own valid paths, without the parts that pages put around an article.
 """
 
 from __future__ import annotations
@@ -21,7 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-SLOTS = 16
+from seqframe.llm.scratch import written
+
+#: Between the elements of a path, and between the names of an element; both count as white space, so no name has them.
+STEP, NAME = "\x1f", "\x1e"
 #: Fixed values from the HTML standard.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "title", "xmp"}
@@ -92,8 +94,8 @@ class Page:
             value = (a or b or c).lower()
             names |= {x for x in _PART.split(value) if x}
             if kind.lower() in ("class", "id"):
-                sign += f".{value.strip()}" if kind.lower() == "class" else f"#{value.strip()}"
-        path = f"{stack[-1][1]}>{sign}" if stack else sign
+                sign += "".join(f"{NAME}.{x}" for x in value.split()) if kind.lower() == "class" else f"{NAME}#{'_'.join(value.split())}"
+        path = f"{stack[-1][1]}{STEP}{sign}" if stack else sign
         inside = any(s[0] in MAIN for s in stack)
         around = tag in AROUND and not (tag == "header" and inside) or (tag not in ("html", "body", "article", "main") and bool(names & AROUND_NAMES))
         self.opened[path] += 1
@@ -130,9 +132,12 @@ class Page:
                 out[p][1] += n if link else 0
         return {k: (a, b) for k, (a, b) in out.items()}
 
-    def text(self, slots: list[str]) -> str:
-        """The blocks in the first slot that the page has; without any, in the whole page."""
-        slot = next((s for s in slots if s in self.opened), None)
+    def valid(self) -> dict[str, tuple[int, int]]:
+        """Level and characters, less two for each in links, of the paths with text whose start and end occur once."""
+        return {p: (self.level[p], a - 2 * b) for p, (a, b) in self.mass().items() if a and self.opened[p] == self.closed.get(p) == 1}
+
+    def text(self, slot: str | None) -> str:
+        """The blocks in the slot; without one, in the whole page."""
         blocks: dict[int, list[str]] = {}
         for text, path, block, _ in self.runs:
             if path and path[-1][1] or slot is not None and all(p != slot for p, _ in path):
@@ -146,53 +151,49 @@ def host(url: str = "url"):
     return F.lower(F.coalesce(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-TOKEN_SQL = "host string, path string, end boolean, vec long, pages long, most long, mass long, links long, level int"
+PATH_SQL = "key long, host string, path string, level int, score long"
+
+
+def classes(rows: DataFrame) -> DataFrame:
+    """``host, path, level, class``: paths without the names that only one page of the host has.
+
+    A path stays whole where another of its page would get the same class.
+    """
+    by_path = written(rows.groupBy("host", "path", "level").agg(F.min("key").alias("first"), F.max("key").alias("last")), "paths")
+    own = F.split(F.substring_index("path", STEP, -1), NAME)
+    names = by_path.select("host", "first", "last", own[0].alias("tag"), F.explode(F.slice(own, 2, 1 << 30)).alias("name"))
+    once = names.groupBy("host", "tag", "name").agg(F.min("first").alias("a"), F.max("last").alias("b")).where("a = b")
+    once = once.select(F.col("host").alias("h"), F.col("tag").alias("t"), F.col("name").alias("n"), F.lit(True).alias("once"))
+    steps = by_path.select("*", F.posexplode(F.split("path", STEP)).alias("i", "step")).select("*", F.split("step", NAME)[0].alias("tag"), F.posexplode(F.split("step", NAME)).alias("j", "name"))
+    steps = steps.join(once, (F.col("host") == F.col("h")) & (F.col("tag") == F.col("t")) & (F.col("name") == F.col("n")) & (F.col("j") > 0), "left")
+    part = F.when(F.col("j") == 0, F.concat(F.lit(STEP), "name")).when(F.col("once").isNull(), F.concat(F.lit(NAME), "name"))
+    kept = steps.groupBy("host", "path", "level", "first").agg(F.array_sort(F.collect_list(F.struct("i", "j", part.alias("part")))).alias("parts"))
+    kept = kept.select("host", "path", "level", "first", F.substring(F.array_join(F.col("parts")["part"], ""), 2, 1 << 30).alias("short"))
+    alike = F.count("*").over(Window.partitionBy("host", "short", "level", "first"))
+    return kept.withColumn("alike", alike).select("host", "path", "level", F.when(F.col("alike") > 1, F.col("path")).otherwise(F.col("short")).alias("class"))
 
 
 def deduce(pages: DataFrame) -> DataFrame:
-    """``host, slots``: the paths of the slots that may hold main text, best first.
+    """``key, slot``: the path of the slot that holds a page's main text, for pages that have a valid path.
 
     Works on sums over all pages; no host is gathered. A host with one page has the template of that page.
     """
 
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def valid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            acc: dict[tuple, list] = {}
-            for h, html, key in zip(batch["host"].to_pylist(), batch["html"].to_pylist(), batch["key"].to_pylist(), strict=True):
-                page = Page(html)
-                mass = page.mass()
-                for end, counts in ((False, page.opened), (True, page.closed)):
-                    for path, n in counts.items():
-                        a = acc.setdefault((h, path, end), [0, 0, 0, 0, 0, 0])
-                        a[0] ^= (key * 0x9E3779B97F4A7C15 + n * 0xC2B2AE3D27D4EB4F) & 0x7FFFFFFFFFFFFFFF
-                        a[1] += 1
-                        a[2] = max(a[2], n)
-                        if not end:
-                            x = mass.get(path, (0, 0))
-                            a[3] += x[0]
-                            a[4] += x[1]
-                            a[5] = max(a[5], page.level[path])
-            rows = list(acc.items())
-            yield pa.RecordBatch.from_arrays([
-                pa.array([k[0] for k, _ in rows], pa.string()), pa.array([k[1] for k, _ in rows], pa.string()), pa.array([k[2] for k, _ in rows], pa.bool_()),
-                *[pa.array([v[i] for _, v in rows], pa.int64()) for i in range(5)], pa.array([v[5] for _, v in rows], pa.int32()),
-            ], ["host", "path", "end", "vec", "pages", "most", "mass", "links", "level"])
-
-    seen = (
-        pages.mapInArrow(tokens, TOKEN_SQL).groupBy("host", "path", "end")
-        .agg(F.bit_xor("vec").alias("vec"), F.sum("pages").alias("pages"), F.max("most").alias("most"), F.sum("mass").alias("mass"), F.sum("links").alias("links"), F.max("level").alias("level"))
-    )
-    # an element is in a valid class when start and end share one vector and occur once a page
-    both = seen.groupBy("host", "path").agg(
-        (F.min("vec") == F.max("vec")).alias("same"), F.count("*").alias("ends"), F.max("most").alias("most"),
-        F.max("pages").alias("pages"), F.max("mass").alias("mass"), F.max("links").alias("links"), F.max("level").alias("level"),
-    )
-    valid = both.where("same and ends = 2 and most = 1 and mass > 0")
-    order = Window.partitionBy("host").orderBy(
-        F.desc("level"), F.desc(F.col("mass") - 2 * F.col("links")), F.desc(F.size(F.split("path", ">"))), "path"
-    )
-    ranked = valid.withColumn("r", F.row_number().over(order)).where(F.col("r") <= SLOTS)
-    return ranked.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("r", "path"))).getField("path").alias("slots"))
+            rows = [
+                (key, h, path, *v) for key, h, html in zip(batch["key"].to_pylist(), batch["host"].to_pylist(), batch["html"].to_pylist(), strict=True)
+                for path, v in Page(html).valid().items()
+            ]
+            kinds = [pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["key", "host", "path", "level", "score"])
+
+    rows = written(pages.mapInArrow(valid, PATH_SQL), "valid")
+    sums = rows.groupBy("host", "path", "level").agg(F.sum("score").alias("score"))
+    of = written(classes(rows).join(sums, ["host", "path", "level"]), "classes")
+    ranks = of.join(of.groupBy("host", "class", "level").agg(F.sum("score").alias("rank")), ["host", "class", "level"]).select("host", "path", "level", "class", "rank")
+    best = F.struct(-F.col("level"), -F.col("rank"), -F.size(F.split("path", STEP)), "class", -F.col("score"), "path")
+    return rows.join(ranks, ["host", "path", "level"]).groupBy("key").agg(F.min_by("path", best).alias("slot"))
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -203,16 +204,16 @@ def main_text(pages: DataFrame) -> DataFrame:
     """
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"), "url", host().alias("host"), F.coalesce(F.col("html"), F.lit("")).alias("html"),
-        F.xxhash64("page_id", "url").alias("key"),
+        F.xxhash64("page_id", "url", "html").alias("key"),
     )
-    slots = deduce(rows.select("host", "html", "key")).withColumnRenamed("host", "of")
+    slots = deduce(rows.select("host", "html", "key")).withColumnRenamed("key", "of")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [Page(h).text(s or []) for h, s in zip(batch["html"].to_pylist(), batch["slots"].to_pylist(), strict=True)]
+            texts = [Page(h).text(s) for h, s in zip(batch["html"].to_pylist(), batch["slot"].to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
-    joined = rows.join(slots, F.col("host") == F.col("of"), "left").select("page_id", "url", "html", "slots")
+    joined = rows.join(slots, F.col("key") == F.col("of"), "left").select("page_id", "url", "html", "slot")
     return joined.mapInArrow(extract, "page_id long, url string, text string")
 
 

@@ -253,3 +253,26 @@ def test_pages(spark):
     assert got[3].text == "Head 3\none <tag> two\nthree link\nfour\nfive"
     assert got[10].text == "Main é text" and got[11].text == "" and got[12].text == "" and got[13].text == "plain" and got[13].n_chars == 5
     assert html_extract.page_table(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def page_texts(spark, rows):
+    return {r.page_id: r.text for r in html_extract.page_table(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_odd_pages_leave_the_host_its_slot(spark):
+    page = "<html><body><div>notice</div><article><p>Text {i}</p></article><div>more</div></body></html>"
+    rows = [(i, "http://a.example/x", page.format(i=i)) for i in range(20)]
+    rows += [(50, "http://a.example/l", page.format(i=50).replace("<div>more", "<article><p>Second</p></article><div>more")), (51, "http://a.example/u", page.format(i=51).replace("</article>", ""))]
+    got = page_texts(spark, rows)
+    assert all(got[i] == f"Text {i}" for i in range(20)) and got[50] == "notice\nText 50\nSecond\nmore" and "Text 51" in got[51]
+
+
+def test_every_page_has_its_own_id_or_layout(spark):
+    page = '<html><body><div>notice</div><article id="post-{i}" class="post-{i} kind"><p>Text {i}</p></article><div>more</div></body></html>'
+    wrap = '<html><body><div class="l{i}"><div>notice</div><article><p>Text {i}</p></article></div></body></html>'
+    # div.content and the div inside have one level; the links count against the outer one on all pages together
+    links = '<html><body><div class="content"><a>many many links</a><div class="post" id="n{i}"><p>Text {i}</p></div></div></body></html>'
+    rows = [(i, "http://a.example/x", page.format(i=i)) for i in range(40)] + [(100 + i, "http://b.example/x", wrap.format(i=100 + i)) for i in range(40)]
+    rows += [(200 + i, "http://c.example/x", links.format(i=200 + i)) for i in range(40)]
+    got = page_texts(spark, rows)
+    assert got == {r[0]: f"Text {r[0]}" for r in rows}
