@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seqframe.llm.scratch import written
 from seqframe.llm.tokens import SPACE_OR_MARK, U, mix, rolling, span, windows, word_hashes
 
 WORDS, SIMILARITY, BITS = 5, 0.8, 64
@@ -55,7 +56,9 @@ def fingerprint(shingles: np.ndarray, weight: np.ndarray) -> int:
     return int(np.packbits(total > 0).view(">u8")[0])
 
 
-def prepare(rows: list[tuple[int, str]]) -> Items:
+def prepare(rows: list[tuple[int, str]], n: int | None = None, counts: tuple[np.ndarray, np.ndarray] | None = None) -> Items:
+    """n, counts: items of the whole benchmark, and how many hold each shingle of these rows; without them, rows are the whole benchmark."""
+    n = len(rows) if n is None else n
     wh, off = word_hashes(pa.array([t for _, t in rows], pa.string()), True, SPACE_OR_MARK)
     sums = rolling(wh)
     items = Items([i for i, _ in rows], np.diff(off).tolist(), [])
@@ -66,8 +69,11 @@ def prepare(rows: list[tuple[int, str]]) -> Items:
             items.whole.setdefault(int(span(sums, off[k : k + 1], off[k + 1 : k + 2])[0]), []).append(k)
     if any(len(s) for s in items.shingles):
         items.known, df = np.unique(np.concatenate(items.shingles), return_counts=True)
-        items.weight = 1 + np.log(len(rows) / df)
-    items.other = 1 + math.log(max(1, len(rows)))
+        if counts is not None:
+            order = np.argsort(counts[0])
+            df = counts[1][order][np.searchsorted(counts[0], items.known, sorter=order)]
+        items.weight = 1 + np.log(n / df)
+    items.other = 1 + math.log(max(1, n))
     items.bloom[(items.known & U((1 << 20) - 1)).astype(np.int64)] = True
     if len(items.known):
         items.shingles = [np.searchsorted(items.known, x) for x in items.shingles]
@@ -139,12 +145,26 @@ def search(items: Items, texts: pa.Array) -> list[tuple[int, int, float, int, in
     return out
 
 
-def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """Items with a text, in blocks of bounded count."""
+def item_blocks(benchmark: DataFrame) -> Iterator[Items]:
+    """Items with a text, in blocks of bounded count; shingles are weighed over the whole benchmark."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null").distinct()
-    n = max(1, -(-items.count() // ITEMS_A_BLOCK))
+    count = items.count()
+    n = max(1, -(-count // ITEMS_A_BLOCK))
+    items = items.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(n)))
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = prepare(list(enumerate(batch["text"].to_pylist())))
+            held = [own.known[x].view(np.int64) for x in own.shingles if len(x)]
+            blocks = np.repeat(batch["block"].to_numpy(), [len(x) for x in own.shingles])
+            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(np.concatenate([np.zeros(0, np.int64), *held]), pa.int64())], ["block", "shingle"])
+
+    df = items.select("block", "text").mapInArrow(shingles, "block long, shingle long").groupBy("shingle").agg(F.count("*").alias("df"), F.collect_set("block").alias("blocks"))
+    df = written(df.select(F.explode("blocks").alias("block"), "shingle", "df"), "item-shingles")
     for b in range(n):
-        yield [(r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == b).orderBy("item_id", "text").collect()]
+        rows = [(r.item_id, r.text) for r in items.where(F.col("block") == b).orderBy("item_id", "text").collect()]
+        known = df.where(F.col("block") == b).select("shingle", "df").toArrow()
+        yield prepare(rows, count, (known["shingle"].to_numpy().view(U), known["df"].to_numpy()))
 
 
 def find_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -157,8 +177,8 @@ def find_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     spark, out = docs.sparkSession, None
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    for rows in item_blocks(benchmark):
-        shared = spark.sparkContext.broadcast(prepare(rows))
+    for block in item_blocks(benchmark):
+        shared = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             items = shared.value
@@ -176,8 +196,8 @@ def find_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the rows in which an item is found; columns and their order stay."""
-    for rows in item_blocks(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(prepare(rows))
+    for block in item_blocks(benchmark):
+        shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:

@@ -239,6 +239,17 @@ def test_verbatim_items_with_repeats_against_all_windows():
     assert got == want and {(i, i) for i in range(20)} | {(i + 20, i) for i in range(20)} <= set(got)
 
 
+def test_weights_do_not_depend_on_blocks(spark, monkeypatch):
+    rng = random.Random(13)
+    common = prose(rng, 25)
+    items = [(i, f"{common} {prose(rng, 8)}") for i in range(12)] + [(50, "two words")]
+    rows = [(i, f"{prose(rng, 30)} {' '.join(t.split()[:-2])} {prose(rng, 30)}") for i, t in items] + [(100, common), (101, "two words")]
+    found = lambda: sorted(tuple(r) for r in decontaminate.find_items(docs(spark, *rows), spark.createDataFrame(items, "item_id long, text string")).collect())
+    whole = found()
+    monkeypatch.setattr(decontaminate, "ITEMS_A_BLOCK", 3)
+    assert len(whole) == 13 and found() == whole
+
+
 # HTML
 
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{{}}</style><script>var x="</p><article>no</article>";</script></head>
