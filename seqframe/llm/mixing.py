@@ -1,7 +1,7 @@
 """Temperature mixing of sources.
 
 Source shares of all tokens are raised to an exponent (1: as they are, 0: all sources alike) and
-normalised. The exponent, a multiple of 1/STEPS, is the largest at which the entropy of the weights
+normalised. The exponent, a multiple of 1/STEPS (the resolution of the search), is the largest at which the entropy of the weights
 reaches its target; if then some source would be read more often than the limit, the smallest at which
 it is not. Each source's token budget is met by whole passes over its rows, every pass (block) in a
 seeded order of its own, and a last block that takes rows in order while the budget holds them.
@@ -69,16 +69,19 @@ def mix(docs: DataFrame, budget: int | None = None, entropy: float = ENTROPY, ma
     ``budget``: tokens in all; by default as many as ``docs`` has. ``tokens``: a column with token
     counts, else words of column text are counted. Columns named mix_block or mix_rank are replaced.
     Sources without a token are never drawn; rows without tokens in other sources cost nothing and come
-    with every full block. A null source is a source of its own. Ties of the seeded hash are broken by
-    id. An empty table gives an empty result.
+    with every full block. A null source is a source of its own; rows with a null id hash by row. Ties of
+    the seeded hash are broken by id, then by row. An empty table gives an empty result. Only row numbers
+    are ranked; whole rows are shuffled once, to meet their ranks.
     """
     keep = [c for c in docs.columns if c.lower() not in ("mix_block", "mix_rank")]
-    rows = docs.select(
+    kept = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"),
         F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("n")).alias("src"),
-        F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"),
-        (F.col(tokens).cast("long") if tokens else n_tokens()).alias("tok"),
+        F.col(id_col).cast("string").alias("id"),
+        (F.col(tokens).cast("long") if tokens else n_tokens()).alias("tok"), F.monotonically_increasing_id().alias("rid"),
     )
+    kept = written(kept, "rows")
+    rows = kept.select("rid", "src", F.coalesce("id", F.concat(F.lit("row "), F.col("rid").cast("string"))).alias("id"), "tok")
     totals = written(rows.groupBy("src").agg(F.sum("tok").alias("t_src"), F.count("*").alias("n_src")).where("t_src > 0"), "totals")
     whole = totals.agg(F.sum("t_src").alias("t"), F.sum("n_src").alias("n")).first()
     all_tokens, n_rows = whole.t or 0, whole.n or 0
@@ -90,18 +93,18 @@ def mix(docs: DataFrame, budget: int | None = None, entropy: float = ENTROPY, ma
         F.col("src").alias("src_of"), F.floor(F.lit(float(budget)) * F.pow("share", F.lit(e)) / F.lit(z)).cast("long").alias("b"), "t_src"
     ).select("src_of", F.expr("b div t_src").alias("full"), (F.col("b") % F.col("t_src")).alias("rest"))
     drawn = rows.join(plan, F.col("src") == F.col("src_of")).select(
-        "row", "src", "id", "tok", "full", "rest",
+        "rid", "src", "id", "tok", "full", "rest",
         F.explode(F.sequence(F.lit(0).cast("long"), F.col("full"))).alias("block"), F.lit(1).cast("long").alias("one"),
     )
     drawn = drawn.where("block < full OR rest > 0").withColumn("h", uniform(seed, F.col("block").cast("string"), F.col("id")))
     drawn = drawn.withColumn("b", range_of(F.col("h"), buckets_for(int(n_rows))))
-    placed = running(drawn, ["src", "block"], "b", [F.col("h"), F.col("id")], {"upto": "tok", "rank": "one"})
-    return placed.where("block < full OR upto <= rest").select(
-        "row.*", F.col("block").cast("int").alias("mix_block"), F.col("rank").alias("mix_rank")
+    placed = running(drawn, ["src", "block"], "b", [F.col("h"), F.col("id"), F.col("rid")], {"upto": "tok", "rank": "one"})
+    placed = placed.where("block < full OR upto <= rest").select(
+        F.col("rid").alias("of"), F.col("block").cast("int").alias("mix_block"), F.col("rank").alias("mix_rank")
     )
+    return kept.select("rid", "row").join(placed, F.col("rid") == F.col("of")).select("row.*", "mix_block", "mix_rank")
 
 
 def mix_table(docs: DataFrame) -> DataFrame:
     """The rows that the mixing query returns: ids, sources and counts instead of texts."""
-    slim = written(docs.select("doc_id", "source", n_tokens().alias("n_tokens")), "counts")
-    return mix(slim, tokens="n_tokens")
+    return mix(docs.select("doc_id", "source", n_tokens().alias("n_tokens")), tokens="n_tokens")

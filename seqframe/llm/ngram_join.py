@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqframe.llm.components import components, merged
@@ -38,7 +38,7 @@ ENTRY = np.dtype([("h", "<u8"), ("node", "<i8"), ("n", "<u4"), ("pos", "<u4")])
 AT_ONCE = 256
 #: Bits of the filter that tells which documents a check of candidates may need: 16 a document, 32 MB at most.
 FILTER_BITS = 1 << 28
-SETS_SQL = "doc_id long, n long, s1 long, s2 long, prefix binary, bits binary"
+SETS_SQL = "doc_id long, k1 long, k2 long, n long, s1 long, s2 long, prefix binary, bits binary"
 
 
 def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,7 +93,20 @@ def similar_groups(docs: DataFrame, words: int = 5, num: int = 80, den: int = 10
     come last and give a null component unless another id is reached. Repeated rows fall in one
     component. An empty table gives an empty result; other columns are ignored.
     """
-    slim = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    real = lambda c: F.when(c != LAST, c)
+    return _grouped(docs, words, num, den, id_col, text_col).select(
+        real(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), real(F.col("component_id")).alias("component_id")
+    )
+
+
+def row_keys(id_col: str, text_col: str) -> list[Column]:
+    """Two hashes that tell apart rows of different id or text."""
+    return [F.xxhash64(F.lit(i), F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit(""))).alias(f"k{i}") for i in (1, 2)]
+
+
+def _grouped(docs: DataFrame, words: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
+    """One row per input row: ``doc_id, k1, k2, n, comp, component_id``; null ids are LAST, comp is a node of the component."""
+    slim = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *row_keys(id_col, text_col))
     spark = docs.sparkSession
 
     def local_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,8 +162,8 @@ def similar_groups(docs: DataFrame, words: int = 5, num: int = 80, den: int = 10
                 bits.append(bitmap(own))
             sums = [(x[off[1:]] - x[off[:-1]]).astype(np.int64) for x in with_all]
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.array(n), pa.array(sums[0]), pa.array(sums[1]), pa.array(prefixes, pa.binary()), pa.array(bits, pa.binary())],
-                ["doc_id", "n", "s1", "s2", "prefix", "bits"],
+                [batch["doc_id"], batch["k1"], batch["k2"], pa.array(n), pa.array(sums[0]), pa.array(sums[1]), pa.array(prefixes, pa.binary()), pa.array(bits, pa.binary())],
+                ["doc_id", "k1", "k2", "n", "s1", "s2", "prefix", "bits"],
             )
 
     sets = written(slim.mapInArrow(describe, SETS_SQL).withColumn("rid", F.monotonically_increasing_id()), "sets")
@@ -306,12 +319,9 @@ def similar_groups(docs: DataFrame, words: int = 5, num: int = 80, den: int = 10
     )
     own = written(own, "own")
     least_doc = written(own.groupBy("comp").agg(F.min("first_doc").alias("component_id")), "least").withColumnRenamed("comp", "of")
-    named = own.join(least_doc, F.col("comp") == F.col("of")).select(F.col("s1").alias("k1"), F.col("s2").alias("k2"), F.col("n").alias("k3"), "component_id")
-    out = sets.join(written(named, "named"), (F.col("s1") == F.col("k1")) & (F.col("s2") == F.col("k2")) & (F.col("n") == F.col("k3")), "left")
-    real = lambda c: F.when(c != LAST, c)
-    return out.select(
-        real(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), real(F.coalesce("component_id", "doc_id")).alias("component_id")
-    )
+    named = own.join(least_doc, F.col("comp") == F.col("of")).select(F.col("s1").alias("o1"), F.col("s2").alias("o2"), F.col("n").alias("o3"), "comp", "component_id")
+    out = sets.join(written(named, "named"), (F.col("s1") == F.col("o1")) & (F.col("s2") == F.col("o2")) & (F.col("n") == F.col("o3")), "left")
+    return out.select("doc_id", "k1", "k2", "n", "comp", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, slim: DataFrame, words: int, num: int, den: int) -> DataFrame:
@@ -333,14 +343,18 @@ def verified(pairs: DataFrame, sets: DataFrame, slim: DataFrame, words: int, num
     while bits < min(FILTER_BITS, 16 * needed.count()):
         bits *= 2
     place = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
-    maybe = np.zeros(bits, bool)
+    maybe = np.zeros(bits >> 3, np.uint8)
     for r in needed.select(place.alias("x")).groupBy(F.expr("x div 32768").alias("b")).agg(F.bitmap_construct_agg(F.col("x") % 32768).alias("m")).toLocalIterator():
-        maybe[r.b << 15 : (r.b + 1) << 15] = np.unpackbits(np.frombuffer(r.m, np.uint8), bitorder="little")
-    shared = slim.sparkSession.sparkContext.broadcast(np.packbits(maybe))
+        maybe[r.b << 12 : (r.b + 1) << 12] = np.packbits(np.unpackbits(np.frombuffer(r.m, np.uint8), bitorder="little"))
+    shared = slim.sparkSession.sparkContext.broadcast(maybe)
 
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.unpackbits(shared.value).astype(bool)
-        for batch in sliced(b.filter(pa.array(known[b["x"].to_numpy()])) for b in batches):
+        packed_bits = shared.value
+
+        def known(x: np.ndarray) -> np.ndarray:
+            return (packed_bits[x >> 3] >> (7 - (x & 7)).astype(np.uint8)) & 1 > 0
+
+        for batch in sliced(b.filter(pa.array(known(b["x"].to_numpy()))) for b in batches):
             s, off = shingle_sets(batch["text"], words)
             m = mix(s)
             x, y = np.concatenate([[U(0)], np.cumsum(m)]), np.concatenate([[U(0)], np.cumsum(mix(m ^ U(0x5851F42D4C957F2D)))])
@@ -373,7 +387,23 @@ def component_table(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """``docs`` with one row of each group: that with the smallest id; texts without a shingle all stay."""
-    groups = written(similar_groups(docs, words, num, den), "groups")
-    stay = groups.where("n_shingles = 0 or doc_id is null or doc_id = component_id").select(F.col("doc_id").alias("stay_id")).distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(F.col("stay_id")), "left_semi")
+    """``docs`` with one row of each group of similar texts; columns and their order stay, whatever their names.
+
+    The row with the smallest id stays, null ids last; of rows with that id, one text of the group, and of
+    rows that agree in id and text, the one with the smallest other columns. Null, empty and blank texts have no shingle and all
+    stay. An empty table stays empty.
+    """
+    groups = written(_grouped(docs, words, num, den, "doc_id", "text").where("n > 0"), "groups")
+    best = F.min(F.struct("doc_id", "k1", "k2"))
+    first = written(groups.groupBy("comp").agg(best.alias("b")), "first").select(F.col("comp").alias("of"), F.col("b.k1").alias("w1"), F.col("b.k2").alias("w2"))
+    marked = groups.join(first, F.col("comp") == F.col("of")).select("k1", "k2", ((F.col("k1") == F.col("w1")) & (F.col("k2") == F.col("w2"))).alias("wins"))
+    # rows that go, and rows that stay but are there more than once; a key stands for one id and text, hence for one group
+    fate = written(marked.groupBy("k1", "k2").agg(F.max("wins").alias("wins"), F.count("*").alias("n")).where("not wins or n > 1"), "fate")
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *row_keys("doc_id", "text"))
+    on = lambda f: (F.col("k1") == F.col("f1")) & (F.col("k2") == F.col("f2"))
+    ends = fate.select(F.col("k1").alias("f1"), F.col("k2").alias("f2"), "wins")
+    out = keyed.join(ends.drop("wins"), on(ends), "left_anti").select("row.*")
+    if not ends.where("wins").isEmpty():
+        repeated = keyed.join(ends.where("wins").drop("wins"), on(ends), "left_semi")
+        out = out.unionByName(repeated.groupBy("k1", "k2").agg(F.min("row").alias("row")).select("row.*"))
+    return out

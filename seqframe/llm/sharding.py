@@ -19,33 +19,36 @@ def assign_shards(docs: DataFrame, shards: int = 40, seed: str = "shard", id_col
                   source_col: str = "source") -> DataFrame:
     """All columns of ``docs`` plus ``shard`` (int) and ``slot`` (long, gapless from 0 in each shard).
 
-    Columns of ``docs`` named shard or slot are replaced. A null source is a source of its own; a null
-    id hashes like an empty one. Rows that agree in id and in all that orders them are interchangeable.
-    With fewer rows than shards, some shards stay empty; an empty table gives an empty result.
+    Columns of ``docs`` named shard or slot are replaced. A null source is a source of its own; rows with
+    a null id hash by row. Rows that agree in id and source are interchangeable; equal texts are rows like
+    others, and nothing keeps them together. With fewer rows than shards, some shards stay empty; an empty
+    table gives an empty result. Only row numbers are ranked; whole rows are shuffled once, to meet their
+    places.
     """
     if shards < 1:
         raise ValueError("shards must be at least 1")
     keep = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
-    rows = docs.select(
+    kept = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"),
         F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("n")).alias("src"),
-        uniform(seed, F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("h"),
-    ).withColumn("one", F.lit(1).cast("long"))
-    total = docs.count()
+        F.col(id_col).cast("string").alias("id"), F.monotonically_increasing_id().alias("rid"),
+    )
+    kept = written(kept, "rows")
+    rows = kept.select("rid", "src", uniform(seed, F.coalesce("id", F.concat(F.lit("row "), F.col("rid").cast("string")))).alias("h"), "id", F.lit(1).cast("long").alias("one"))
+    total = kept.count()
     n = buckets_for(total)
     sizes = rows.groupBy("src").agg(F.count("*").alias("n_src")).withColumnRenamed("src", "src_of")
     rows = rows.withColumn("b", range_of(F.col("h"), n))
-    ranked = running(rows, ["src"], "b", [F.col("h"), F.col(f"row.{id_col}")], {"rank": "one"})
+    ranked = running(rows, ["src"], "b", [F.col("h"), F.col("id"), F.col("rid")], {"rank": "one"})
     ranked = ranked.join(sizes, F.col("src") == F.col("src_of"))
     ranked = ranked.withColumn("f", (F.col("rank") - F.lit(0.5)) / F.col("n_src"))
     ranked = ranked.withColumn("g", F.least(F.lit(n - 1), F.floor(F.col("f") * n)).cast("int"))
-    placed = running(ranked.select("row", "one", "src", "h", "f", "g"), [], "g", [F.col("f"), F.col("src"), F.col("h")], {"pos": "one"})
+    placed = running(ranked.select("rid", "one", "src", "h", "f", "g"), [], "g", [F.col("f"), F.col("src"), F.col("h"), F.col("rid")], {"pos": "one"})
     pos = F.col("pos") - 1
     shard = F.expr(f"(pos - 1) * {shards}L div {max(1, total)}L")
     first = F.expr(f"(shard * {max(1, total)}L + {shards - 1}L) div {shards}L")
-    return placed.withColumn("shard", shard).select(
-        "row.*", F.col("shard").cast("int").alias("shard"), (pos - first).alias("slot")
-    )
+    placed = placed.withColumn("shard", shard).select(F.col("rid").alias("of"), F.col("shard").cast("int").alias("shard"), (pos - first).alias("slot"))
+    return kept.select("rid", "row").join(placed, F.col("rid") == F.col("of")).select("row.*", "shard", "slot")
 
 
 def shard_table(docs: DataFrame, shards: int = 40) -> DataFrame:
@@ -54,7 +57,7 @@ def shard_table(docs: DataFrame, shards: int = 40) -> DataFrame:
     slim = docs.select(
         "doc_id", "source", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32")
     )
-    out = assign_shards(written(slim, "sizes"), shards)
+    out = assign_shards(slim, shards)
     return out.select(
         "doc_id", "size", "text_crc32", F.lit(LAW).alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"),

@@ -1,21 +1,22 @@
-"""Toxicity by a word lexicon, matched by compression.
-
-Both are learnt from a bounded sample of labelled documents: a zstandard dictionary trained on windows of
-ordinary text, and a lexicon of the words that make toxic documents differ from ordinary ones (found by a
-greedy cover of the toxic documents with word beginnings). No dictionary is trained on toxic windows: they
-are ordinary text but for a few words, and README gives figures of that way. Each window of a text is
-compressed with the ordinary dictionary and with both; where the lexicon saves at least ``window_gain``
-bytes, the same is done word by word, and words that save at least ``word_gain`` bytes count as hits. Both
-thresholds are calibrated together on the sample's documents, and a logistic curve over the number of
-hits and words turns them into a score.
+"""Toxicity by compression with two dictionaries.
+
+Both dictionaries are trained by zstandard on a bounded sample of labelled documents: one on windows of
+ordinary text, one on toxic text. A toxic document is ordinary text but for a few words, so the toxic
+training text is cut to the words whose beginnings are far more frequent in toxic documents than in
+ordinary ones; README has figures for whole windows. Each window of a text is compressed with the ordinary
+dictionary and with both; windows that save at least ``window_gain`` bytes are compared again word by word
+(windows of one word), and words that save at least ``word_gain`` bytes are hits. Both thresholds, and the
+logistic curve that turns the number of hits and words into a score, are fitted on savings that
+dictionaries of the other folds of the sample give, so no document is measured by its own text.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 import re
 import zlib
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,9 +28,14 @@ from pyspark.sql import functions as F
 
 #: The sample: so many documents of each kind at most, none longer than this (characters).
 TOXIC_SAMPLE, ORDINARY_SAMPLE, LONGEST = 1500, 3000, 20_000
+#: Bytes of the trained dictionaries; zstandard's trainer picks what fits.
+ORDINARY_BYTES, TOXIC_BYTES = 6000, 6000
+FOLDS = 3
 WINDOW = 24
-BEGINNING = (5, 10)
-PASSAGES = 256
+#: Bytes of a word's beginning, with the space before it.
+BEGINNINGS = (5, 6, 7)
+#: A beginning tells where it is in so large a part of the toxic documents, and so many times as frequent there.
+SUPPORT, RATIO = 0.005, 40
 THRESHOLD = 0.3
 #: Thresholds that are tried, in bytes.
 WINDOW_GAINS, WORD_GAINS = range(1, 16), range(2, 16)
@@ -72,7 +78,7 @@ class Model:
         return self.__dict__["_tools"]
 
     def word_saving(self, word: bytes) -> int:
-        """Bytes that the toxic passages save on one word, between text that either dictionary has."""
+        """Bytes that the toxic dictionary saves on one word, between text that either dictionary has."""
         _, _, plain, both, known = self.tools()
         if word not in known:
             if len(known) > 200_000:
@@ -82,13 +88,19 @@ class Model:
         return known[word]
 
     def windows(self, words: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
-        """Bytes that the lexicon saves on each window, and the window's words."""
+        """Bytes that the toxic dictionary saves on each window, and the window's words."""
         plain, both = self.tools()[:2]
         for i in range(0, len(words), WINDOW):
             # the last bytes of a block are never matched: known text follows the window
             x = b" " + b" ".join(words[i : i + WINDOW]) + b" " + self.ordinary[64:96]
             yield len(plain.compress(x)) - len(both.compress(x)), words[i : i + WINDOW]
 
+    def savings(self, words: list[bytes]) -> list[tuple[int, list[int]]]:
+        """(bytes saved on a window, bytes saved on each of its words) of the windows that save anything."""
+        if not self.toxic:
+            return []
+        return [(saved, [self.word_saving(w) for w in part]) for saved, part in self.windows(words) if saved >= WINDOW_GAINS.start]
+
     def hits(self, words: list[bytes]) -> int:
         if not self.toxic:
             return 0
@@ -104,72 +116,48 @@ def features(hits: int, n: int) -> tuple[float, float, float, float]:
     return 1.0, float(hits > 0), math.log1p(hits), math.log1p(100 * hits / (n + 20))
 
 
-def beginnings(words: set[bytes]) -> set[bytes]:
-    out = set()
-    for w in words:
-        w = b" " + w + b" "
-        out.update(w[:n] for n in range(BEGINNING[0], min(len(w), BEGINNING[1]) + 1))
-    return out
-
-
-def toxic_passages(toxic: list[set[bytes]], ordinary: list[set[bytes]]) -> list[bytes]:
-    """Word forms of toxic documents whose beginnings are far more frequent there; the most telling last."""
-    heads = [beginnings(s) for s in toxic]
-    seen = Counter(x for s in heads for x in s)
-    least = max(3, len(toxic) // 200)
-    plain = Counter(x for s in ordinary for x in beginnings(s) if seen[x] >= least)
-    open_ = {x for x, a in seen.items() if a >= least and a / len(toxic) >= 40 * (plain[x] + 0.5) / (len(ordinary) + 1)}
-    where = defaultdict(list)
-    for i, s in enumerate(heads):
-        for x in s & open_:
-            where[x].append(i)
-    value, picked = np.ones(len(toxic)), []
-    while open_ and len(picked) < PASSAGES:
-        gain = {x: value[where[x]].sum() - 3 * plain[x] for x in open_}
-        best = max(open_, key=lambda x: (gain[x], len(x), x))
-        if gain[best] < least:
-            break
-        picked.append(best)
-        open_ = {x for x in open_ if not x.startswith(best) and not best.startswith(x)}
-        value[where[best]] *= 0.6
-    forms = Counter(f for s in toxic for f in (b" " + w + b" " for w in s) if any(f.startswith(p) for p in picked))
-    return [f for f, _ in sorted(forms.items(), key=lambda x: (x[1], x[0]))][-600:]
+def beginnings(word: bytes) -> set[bytes]:
+    w = b" " + word + b" "
+    return {w[:n] for n in BEGINNINGS if n <= len(w)}
 
 
-def thresholds(model: Model, docs: list[list[bytes]], y: np.ndarray) -> tuple[int, int]:
-    """The window and word thresholds that tell documents apart best (F1 of "has a hit"; the lowest of equals)."""
-    best = np.zeros((len(docs), WINDOW_GAINS.stop), int)  # the largest word saving in windows that save so much
-    for i, words in enumerate(docs):
-        for saved, part in model.windows(words):
-            top = max(saved + 1, 0)
-            best[i, :top] = np.maximum(best[i, :top], max(map(model.word_saving, part)))
+def counted(docs: list[list[bytes]]) -> Counter:
+    """In how many documents each beginning is."""
+    return Counter(x for d in docs for x in {b for w in set(d) for b in beginnings(w)})
 
-    def f1(window: int, word: int) -> float:
-        hit = best[:, window] >= word
-        return 2 * float((hit * y).sum()) / max(1.0, float(hit.sum() + y.sum()))
 
-    return max(((a, b) for a in WINDOW_GAINS for b in WORD_GAINS), key=lambda g: (f1(*g), -g[0], -g[1]))
+def trained(samples: list[bytes], size: int, segment: int, piece: int) -> bytes:
+    """A dictionary of zstandard's trainer; of too little text, the text itself."""
+    try:
+        return zstandard.train_dictionary(size, samples, k=segment, d=piece).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(sorted(set(samples)))[-size:]
 
 
-def fit(rows: list[tuple[str, int]]) -> Model:
-    """A model from (text, label) rows, the same whatever their order."""
-    rows = sorted(rows, key=lambda r: (zlib.crc32((r[0] or "").encode()), r[0] or "", r[1]))
-    split = [(words_of(t), y) for t, y in rows]
-    toxic, plain = [w for w, y in split if y], [w for w, y in split if not y]
-    windows = [b" " + b" ".join(w[i : i + WINDOW]) + b" " for w in plain for i in range(0, min(len(w), 40 * WINDOW), WINDOW)]
-    try:
-        ordinary = zstandard.train_dictionary(8192, windows[:20_000], k=64, d=8).as_bytes()[-6000:]
-    except zstandard.ZstdError:  # too little text
-        ordinary = b"".join(windows)[:6000]
-    forms = toxic_passages([set(w) for w in toxic], [set(w) for w in plain]) if toxic and plain else []
-    model = Model(ordinary.ljust(96), b"".join(forms))
-    rate = (len(toxic) + 0.5) / (len(split) + 1)
-    model.weights = (math.log(rate / (1 - rate)), 0.0, 0.0, 0.0)
-    if not forms:
-        return model
-    y = np.array([float(label) for _, label in split])
-    model.window_gain, model.word_gain = thresholds(model, [w for w, _ in split], y)
-    x = np.array([features(model.hits(w), len(w)) for w, _ in split])
+def dictionaries(toxic: list[list[bytes]], ordinary: list[list[bytes]], a: Counter, b: Counter) -> Model:
+    """Both dictionaries; a, b: counted() of the documents."""
+    windows = [b" " + b" ".join(w[i : i + WINDOW]) + b" " for w in ordinary for i in range(0, len(w), WINDOW)]
+    plain = trained(windows, ORDINARY_BYTES, 64, 8) if windows else b""
+    least = max(3, SUPPORT * len(toxic))
+    telling = {x for x, n in a.items() if n >= least and n / len(toxic) >= RATIO * (b[x] + 0.5) / (len(ordinary) + 1)}
+    cut = [b" " + w + b" " for d in toxic for w in d if not telling.isdisjoint(beginnings(w))]
+    return Model(plain.ljust(96), trained(cut, TOXIC_BYTES, 12, 6) if cut else b"")
+
+
+def f1(hit: np.ndarray, y: np.ndarray) -> float:
+    return 2 * float((hit * y).sum()) / max(1.0, float(hit.sum() + y.sum()))
+
+
+def thresholds(savings: list[list[tuple[int, list[int]]]], y: np.ndarray) -> tuple[int, int]:
+    """The window and word thresholds that tell documents apart best (F1 of "has a hit"; the lowest of equals)."""
+    best = np.zeros((len(savings), WINDOW_GAINS.stop), int)  # the largest word saving in windows that save so much
+    for i, windows in enumerate(savings):
+        for saved, words in windows:
+            best[i, : saved + 1] = np.maximum(best[i, : saved + 1], max(words))
+    return max(((a, b) for a in WINDOW_GAINS for b in WORD_GAINS), key=lambda g: (f1(best[:, g[0]] >= g[1], y), -g[0], -g[1]))
+
+
+def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
     b = np.zeros(x.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
@@ -177,7 +165,32 @@ def fit(rows: list[tuple[str, int]]) -> Model:
         b += step
         if np.abs(step).max() < 1e-9:
             break
-    model.weights = tuple(b.tolist())
+    return tuple(b.tolist())
+
+
+def fit(rows: list[tuple[str, int]]) -> Model:
+    """A model from (text, label) rows, the same whatever their order. Equal rows count once."""
+    rows = sorted(set((r[0] or "", r[1]) for r in rows), key=lambda r: (zlib.crc32(r[0].encode()), r))
+    docs, y = [words_of(t) for t, _ in rows], np.array([float(label) for _, label in rows])
+    fold = np.array([zlib.crc32(t.encode()) // 7 % FOLDS for t, _ in rows], int)
+    pick = lambda label, ok: [docs[i] for i in np.flatnonzero((y == label) & ok)]
+    each = [{label: counted(pick(label, fold == f)) for label in (0, 1)} for f in range(FOLDS)]
+    every = {label: sum((e[label] for e in each), Counter()) for label in (0, 1)}
+    model = dictionaries(pick(1, fold >= 0), pick(0, fold >= 0), every[1], every[0]) if y.sum() else Model(b"".ljust(96), b"")
+    rate = (y.sum() + 0.5) / (len(y) + 1)
+    model.weights = (math.log(rate / (1 - rate)), 0.0, 0.0, 0.0)
+    if not model.toxic:
+        return model
+    savings: list[list[tuple[int, list[int]]]] = [[] for _ in docs]
+    for f in range(FOLDS):
+        others = fold != f
+        if pick(1, others):
+            part = dictionaries(pick(1, others), pick(0, others), every[1] - each[f][1], every[0] - each[f][0])
+            for i in np.flatnonzero(fold == f):
+                savings[i] = part.savings(docs[i])
+    model.window_gain, model.word_gain = thresholds(savings, y)
+    hits = [sum(sum(s >= model.word_gain for s in words) for saved, words in w if saved >= model.window_gain) for w in savings]
+    model.weights = logistic(np.array([features(h, len(d)) for h, d in zip(hits, docs, strict=True)]), y)
     return model
 
 
@@ -188,18 +201,23 @@ def held_out(id_col: str = "doc_id"):
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
     """Fits on labelled rows whose crc32(doc_id as text) mod 4 is not 2; null labels and ids are left out.
 
-    The sample takes at most TOXIC_SAMPLE and ORDINARY_SAMPLE labels in the order of a hash of the id.
+    The sample takes at most TOXIC_SAMPLE and ORDINARY_SAMPLE labels in the order of a hash of the id, and
+    of their documents those of at most LONGEST characters. One task fits on it; only the model, some
+    kilobytes, comes to the driver.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out()).select(
         F.col("doc_id").alias("of"), (F.col("toxic") > 0).cast("int").alias("y")
     ).distinct()
     pick = lambda y, n: known.where(F.col("y") == y).orderBy(F.md5(F.col("of").cast("string")), "of").limit(n)
     sample = pick(1, TOXIC_SAMPLE).unionByName(pick(0, ORDINARY_SAMPLE))
-    rows = (
-        docs.select("doc_id", "text").where(F.length("text") <= LONGEST)
-        .join(F.broadcast(sample), F.col("doc_id") == F.col("of")).select("text", "y").collect()
-    )
-    return fit([(r.text, r.y) for r in rows])
+    rows = docs.select("doc_id", "text").where(F.length("text") <= LONGEST).join(F.broadcast(sample), F.col("doc_id") == F.col("of")).select("text", "y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [(t, y) for batch in batches for t, y in zip(batch["text"].to_pylist(), batch["y"].to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(found))], pa.binary())], ["model"])
+
+    got = rows.repartition(1).mapInArrow(run, "model binary").first()
+    return fit([]) if got is None else pickle.loads(got.model)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -222,7 +240,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` without the rows predicted toxic; columns and their order stay."""
+    """``docs`` without the rows predicted toxic; columns and their order stay, whatever their names.
+
+    Null and empty texts have no hit and stay; ids are not read, so null and repeated ids are rows like
+    others; equal texts stay or go together; an empty table stays empty.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
