@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqframe.llm.scratch import written
+from seqframe.llm.scratch import dropped, written
 
 
 def _named(labels: DataFrame, of: str, to: str) -> DataFrame:
@@ -31,7 +31,9 @@ def components(links: DataFrame) -> DataFrame:
         while True:
             up = written(tree.join(_named(tree, "at", "beyond"), F.col("comp") == F.col("at")).select("node", "comp", "beyond"), "jumps")
             if up.where("comp <> beyond").isEmpty():
+                dropped(up)
                 break
+            dropped(tree)
             tree = up.select("node", F.col("beyond").alias("comp"))
         if now is None:
             now = tree
@@ -41,7 +43,7 @@ def components(links: DataFrame) -> DataFrame:
         edges = edges.join(_named(tree, "ua", "ca"), F.col("a") == F.col("ua")).join(_named(tree, "ub", "cb"), F.col("b") == F.col("ub"))
         edges = edges.where("ca <> cb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"))
     if now is None:
-        return loops.distinct()
+        return written(loops.distinct(), "components")
     return written(now.unionByName(loops).groupBy("node").agg(F.min("comp").alias("comp")), "components")
 
 

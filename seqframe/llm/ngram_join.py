@@ -7,9 +7,11 @@ nodes of near sizes meet. Of each pair, hashed bitmaps bound the overlap from ab
 bitmap has and the other lacks stands for a shingle outside the intersection. What the bound leaves is
 decided by intersecting the sorted shingle arrays.
 
-Tiles of common shingles are not gathered. Their nodes first meet a few others in a random order within
-a size band, which connects groups of near copies; then tiles that still hold several components are
-cut into blocks, and each pair of blocks tests its pairs between components. Links inside a component
+In a small tile nodes first meet those that follow them in the order of sizes, and then all others of
+other components. Large tiles are not gathered. Their nodes first meet a few others in a random order within a size band,
+one of a few orders, so that tiles of the same nodes ask for the same pairs; this connects groups of near
+copies with a number of pairs in proportion to the nodes. Then tiles that still hold several components
+are cut into blocks, and each pair of blocks tests its pairs between components. Links inside a component
 change nothing, so the components are exact.
 """
 
@@ -24,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqframe.llm.components import components, merged
-from seqframe.llm.scratch import written
+from seqframe.llm.scratch import dropped, written
 from seqframe.llm.substring_dedup import ASK_SQL, cut, packed
 from seqframe.llm.tokens import U, mix, shingle_sets
 
@@ -32,7 +34,8 @@ LAST = np.iinfo(np.int64).max
 MOST_COMMON = 1 << 20
 TILE = 128
 BLOCK = 512
-NEIGHBOURS = 6
+#: In a larger tile a node meets so many nodes after it, in one of so many orders.
+NEIGHBOURS, ORDERS = 2, 3
 ENTRY = np.dtype([("h", "<u8"), ("node", "<i8"), ("n", "<u4"), ("pos", "<u4")])
 #: Documents hashed at a time: a batch of long documents stays small in memory.
 AT_ONCE = 256
@@ -94,7 +97,7 @@ def similar_groups(docs: DataFrame, words: int = 5, num: int = 80, den: int = 10
     component. An empty table gives an empty result; other columns are ignored.
     """
     real = lambda c: F.when(c != LAST, c)
-    return _grouped(docs, words, num, den, id_col, text_col).select(
+    return _grouped(docs, words, num, den, id_col, text_col)[0].select(
         real(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), real(F.col("component_id")).alias("component_id")
     )
 
@@ -104,8 +107,8 @@ def row_keys(id_col: str, text_col: str) -> list[Column]:
     return [F.xxhash64(F.lit(i), F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit(""))).alias(f"k{i}") for i in (1, 2)]
 
 
-def _grouped(docs: DataFrame, words: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
-    """One row per input row: ``doc_id, k1, k2, n, comp, component_id``; null ids are LAST, comp is a node of the component."""
+def _grouped(docs: DataFrame, words: int, num: int, den: int, id_col: str, text_col: str) -> tuple[DataFrame, list[DataFrame]]:
+    """One row per input row: ``doc_id, k1, k2, n, comp, component_id``; null ids are LAST, comp is a node of the component. With the tables it reads."""
     slim = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *row_keys(id_col, text_col))
     spark = docs.sparkSession
 
@@ -205,18 +208,18 @@ def _grouped(docs: DataFrame, words: int, num: int, den: int, id_col: str, text_
     def tiles(table: pa.Table) -> pa.Table:
         x = np.frombuffer(b"".join(table["data"].to_pylist()), ENTRY)
         if table["part"][0].as_py() < 0:
-            return tile_rows(np.zeros(0, np.int64), np.zeros(0, np.int64), x)
-        x = x[np.lexsort((x["n"], x["h"]))]
+            return tile_rows(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool), x)
+        x = x[np.lexsort((x["node"], x["n"], x["h"]))]
         first = np.flatnonzero(np.concatenate([[True], x["h"][1:] != x["h"][:-1]]))
         size = np.diff(np.append(first, len(x)))
         big = np.repeat(size > TILE, size)
-        a, b = near_pairs(x[~big & np.repeat(size > 1, size)])
-        return tile_rows(a, b, x[big])
+        a, b, near = pairs_in(x[~big & np.repeat(size > 1, size)])
+        return tile_rows(a, b, near, x[big])
 
-    def near_pairs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs in one tile (rows sorted by shingle and size) that sizes and positions allow."""
+    def pairs_in(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs in one tile (rows sorted by shingle, size and node) that sizes and positions allow, and whether they follow each other there."""
         if len(x) < 2:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
         n, pos = x["n"].astype(np.int64), x["pos"].astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], x["h"][1:] != x["h"][:-1]]))
         end = np.repeat(np.append(first[1:], len(x)), np.diff(np.append(first, len(x))))
@@ -225,18 +228,23 @@ def _grouped(docs: DataFrame, words: int, num: int, den: int, id_col: str, text_
         ok = n[j] * num <= n[i] * den
         i, j = i[ok], j[ok]
         ok = 1 + np.minimum(n[i] - pos[i], n[j] - pos[j]) - 1 >= required(n[i], n[j], num, den)
-        a, b = x["node"][i[ok]], x["node"][j[ok]]
-        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-        return both[:, 0], both[:, 1]
-
-    def tile_rows(a: np.ndarray, b: np.ndarray, big: np.ndarray) -> pa.Table:
+        i, j = i[ok], j[ok]
+        a, b = x["node"][i], x["node"][j]
+        o = np.lexsort((j - i > NEIGHBOURS, np.maximum(a, b), np.minimum(a, b)))
+        a, b, near = np.minimum(a, b)[o], np.maximum(a, b)[o], (j - i <= NEIGHBOURS)[o]
+        new = np.ones(len(o), bool)
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        return a[new], b[new], near[new]
+
+    def tile_rows(a: np.ndarray, b: np.ndarray, near: np.ndarray, big: np.ndarray) -> pa.Table:
         none = np.zeros(len(big), bool)
         return pa.table({
             "a": np.concatenate([a, big["node"]]), "b": pa.array(np.concatenate([b, big["node"]]), mask=np.concatenate([np.zeros(len(b), bool), ~none])),
             "h": np.concatenate([np.zeros(len(a), np.int64), big["h"].astype(np.int64)]), "n": np.concatenate([np.zeros(len(a), np.int64), big["n"].astype(np.int64)]),
+            "near": np.concatenate([near, none]),
         })
 
-    tiled = written(nodes.mapInArrow(deal, ASK_SQL).groupBy("part").applyInArrow(tiles, "a long, b long, h long, n long"), "tiles")
+    tiled = written(nodes.mapInArrow(deal, ASK_SQL).groupBy("part").applyInArrow(tiles, "a long, b long, h long, n long, near boolean"), "tiles")
     band = F.floor(F.log("n") / math.log(den / num)).cast("int")
     entries = tiled.where("b is null").select(F.col("a").alias("node"), "h", "n", band.alias("band"))
 
@@ -260,17 +268,27 @@ def _grouped(docs: DataFrame, words: int, num: int, den: int, id_col: str, text_
 
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     met = (
-        entries.withColumn("r", F.xxhash64("h", "node")).repartitionByRange(tasks, "h", "band", "r").sortWithinPartitions("h", "band", "r")
+        entries.withColumn("r", F.xxhash64(F.pmod("h", F.lit(ORDERS)), "node")).repartitionByRange(tasks, "h", "band", "r").sortWithinPartitions("h", "band", "r")
         .select("h", "band", "node").mapInArrow(neighbours, "a long, b long")
     )
-    links = verified(written(tiled.where("b is not null").select("a", "b").unionByName(met).distinct(), "pairs"), sets, slim, words, num, den)
+    small = tiled.where("b is not null").groupBy("a", "b").agg(F.max("near").alias("near"))
+    links = verified(written(small.where("near").select("a", "b").unionByName(met).distinct(), "pairs"), sets, slim, words, num, den)
     known = components(links)
+    dropped(links, counted)
+    # the other pairs of small tiles, where they lie between components
+    comp = lambda c: known.select(F.col("node").alias(f"o{c}"), F.col("comp").alias(f"c{c}"))
+    rest = small.where("not near").join(comp("a"), F.col("a") == F.col("oa"), "left").join(comp("b"), F.col("b") == F.col("ob"), "left")
+    rest = rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    more = verified(written(rest, "between"), sets, slim, words, num, den)
+    known = merged(known, more)
+    dropped(more)
 
     # tiles of common shingles that still hold more than one component
     labelled = written(
         entries.join(known.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left")
         .select("h", "n", "band", "node", F.coalesce("comp", "node").alias("comp")), "labelled",
     )
+    dropped(tiled)
     mixed = labelled.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select(F.col("h").alias("of_h"))
     open_ = labelled.join(mixed, F.col("h") == F.col("of_h")).drop("of_h")
     # a pair of nodes is tested in one tile only, the smallest that both lie in
@@ -295,17 +313,23 @@ def _grouped(docs: DataFrame, words: int, num: int, den: int, id_col: str, text_
         def block(table: pa.Table) -> pa.Table:
             node, comp, n = (table[c].to_numpy() for c in ("node", "comp", "n"))
             bnd, salt, bits = table["band"].to_numpy(), table["s"].to_numpy(), table["bits"].to_pylist()
-            here, tiles_of = table["h"][0].as_py(), [frozenset(x) for x in table["tiles"].to_pylist()]
+            here, tiles_of = table["h"][0].as_py(), table["tiles"].to_pylist()
             t = table["t"][0].as_py()
             left = (bnd == t["band_a"]) & (salt == t["s_a"])
             right = (bnd == t["band_b"]) & (salt == t["s_b"])
             alone = t["band_a"] == t["band_b"] and t["s_a"] == t["s_b"]
-            a, b = [], []
+            size = min(map(len, bits))
+            x = np.stack([folded(np.frombuffer(z, np.uint8), size) for z in bits])
+            ones, a, b = np.bitwise_count(x).sum(axis=1, dtype=np.int64), [], []
             js = np.flatnonzero(right)
             for i in np.flatnonzero(left):
                 j = js[(comp[js] != comp[i]) & (np.minimum(n[js], n[i]) * den >= np.maximum(n[js], n[i]) * num)]
-                for q in j[j > i] if alone else j:
-                    if min(tiles_of[i] & tiles_of[q]) == here and may_link(bits[i], bits[q], int(n[i]), int(n[q]), num, den):
+                if alone:
+                    j = j[j > i]
+                both = np.bitwise_count(x[j] & x[i]).sum(axis=1, dtype=np.int64)
+                most = np.minimum(n[i] - (ones[i] - both), n[j] - (ones[j] - both))
+                for q in j[most * (num + den) >= num * (n[i] + n[j])]:
+                    if min(set(tiles_of[i]).intersection(tiles_of[q])) == here and may_link(bits[i], bits[q], int(n[i]), int(n[q]), num, den):
                         a.append(min(node[i], node[q]))
                         b.append(max(node[i], node[q]))
             return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
@@ -313,15 +337,20 @@ def _grouped(docs: DataFrame, words: int, num: int, den: int, id_col: str, text_
         rest = x.select("h", "t", "node", "comp", "n", "band", "s", "bits", "tiles").groupBy("h", "t").applyInArrow(block, "a long, b long").distinct()
         more = verified(written(rest, "rest"), sets, slim, words, num, den)
         known = merged(known, more)
+        dropped(more, split)
+    dropped(open_, labelled)
 
     own = classes.join(known.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select(
         "s1", "s2", "n", "node", F.coalesce("comp", "node").alias("comp"), "first_doc"
     )
     own = written(own, "own")
+    dropped(classes)
     least_doc = written(own.groupBy("comp").agg(F.min("first_doc").alias("component_id")), "least").withColumnRenamed("comp", "of")
     named = own.join(least_doc, F.col("comp") == F.col("of")).select(F.col("s1").alias("o1"), F.col("s2").alias("o2"), F.col("n").alias("o3"), "comp", "component_id")
-    out = sets.join(written(named, "named"), (F.col("s1") == F.col("o1")) & (F.col("s2") == F.col("o2")) & (F.col("n") == F.col("o3")), "left")
-    return out.select("doc_id", "k1", "k2", "n", "comp", F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = written(named, "named")
+    dropped(own, known)
+    out = sets.join(named, (F.col("s1") == F.col("o1")) & (F.col("s2") == F.col("o2")) & (F.col("n") == F.col("o3")), "left")
+    return out.select("doc_id", "k1", "k2", "n", "comp", F.coalesce("component_id", "doc_id").alias("component_id")), [sets, named]
 
 
 def verified(pairs: DataFrame, sets: DataFrame, slim: DataFrame, words: int, num: int, den: int) -> DataFrame:
@@ -378,7 +407,9 @@ def verified(pairs: DataFrame, sets: DataFrame, slim: DataFrame, words: int, num
 
     data = lambda c: held.select(F.col("node").alias(f"o{c}"), F.col("data").alias(f"d{c}"))
     found = likely.join(data("a"), F.col("a") == F.col("oa")).join(data("b"), F.col("b") == F.col("ob"))
-    return written(found.select("a", "b", "da", "db").mapInArrow(exact, "a long, b long"), "links")
+    links = written(found.select("a", "b", "da", "db").mapInArrow(exact, "a long, b long"), "links")
+    dropped(pairs, likely, needed, held)
+    return links
 
 
 def component_table(docs: DataFrame) -> DataFrame:
@@ -393,12 +424,16 @@ def keep_one(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) ->
     rows that agree in id and text, the one with the smallest other columns. Null, empty and blank texts have no shingle and all
     stay. An empty table stays empty.
     """
-    groups = written(_grouped(docs, words, num, den, "doc_id", "text").where("n > 0"), "groups")
+    grouped, used = _grouped(docs, words, num, den, "doc_id", "text")
+    groups = written(grouped.where("n > 0"), "groups")
+    dropped(*used)
     best = F.min(F.struct("doc_id", "k1", "k2"))
-    first = written(groups.groupBy("comp").agg(best.alias("b")), "first").select(F.col("comp").alias("of"), F.col("b.k1").alias("w1"), F.col("b.k2").alias("w2"))
+    first_of = written(groups.groupBy("comp").agg(best.alias("b")), "first")
+    first = first_of.select(F.col("comp").alias("of"), F.col("b.k1").alias("w1"), F.col("b.k2").alias("w2"))
     marked = groups.join(first, F.col("comp") == F.col("of")).select("k1", "k2", ((F.col("k1") == F.col("w1")) & (F.col("k2") == F.col("w2"))).alias("wins"))
     # rows that go, and rows that stay but are there more than once; a key stands for one id and text, hence for one group
     fate = written(marked.groupBy("k1", "k2").agg(F.max("wins").alias("wins"), F.count("*").alias("n")).where("not wins or n > 1"), "fate")
+    dropped(groups, first_of)
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *row_keys("doc_id", "text"))
     on = lambda f: (F.col("k1") == F.col("f1")) & (F.col("k2") == F.col("f2"))
     ends = fate.select(F.col("k1").alias("f1"), F.col("k2").alias("f2"), "wins")

@@ -42,6 +42,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables that written() made and that nothing reads any more."""
+    for df in tables:
+        files = df.inputFiles()
+        if files:
+            folder = files[0].rsplit("/", 1)[0]
+            if "/llm/" in folder:
+                jvm, spark = df.sparkSession._jvm, df.sparkSession
+                path = jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def buckets_for(rows: int) -> int:
     """Ranges of a uniform hash such that each holds some thousand rows, whatever the total is."""
     return int(min(MOST_BUCKETS, max(64, -(-rows // ROWS_A_BUCKET))))

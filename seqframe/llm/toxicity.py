@@ -177,7 +177,7 @@ def fit(rows: list[tuple[str, int]]) -> Model:
     each = [{label: counted(pick(label, fold == f)) for label in (0, 1)} for f in range(FOLDS)]
     every = {label: sum((e[label] for e in each), Counter()) for label in (0, 1)}
     model = dictionaries(pick(1, fold >= 0), pick(0, fold >= 0), every[1], every[0]) if y.sum() else Model(b"".ljust(96), b"")
-    rate = (y.sum() + 0.5) / (len(y) + 1)
+    rate = (y.sum() + 0.1) / (len(y) + 1)
     model.weights = (math.log(rate / (1 - rate)), 0.0, 0.0, 0.0)
     if not model.toxic:
         return model

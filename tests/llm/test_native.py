@@ -1,5 +1,4 @@
 import hashlib
-import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -91,4 +90,21 @@ def test_licenses_of_odd_rows(spark):
     got = scan(docs(spark, (1, text, "a"), (2, None, "a"), (3, "", "b"), (4, "released under the", "a"), (None, "released under the mit license", "b"))).collect()
     assert sorted((r.doc_id or 0, r.license, r.containment) for r in got) == [(0, "mit-notice", 1.0), (1, "apache-2.0-notice", 1.0), (1, "mit-notice", 1.0)]
     assert scan(docs(spark)).count() == 0
-    assert re.search("license", "license")
+
+
+def test_licences_of_long_and_repeated_rows(spark):
+    from seqframe.llm.licenses import TEMPLATES
+
+    mit = TEMPLATES["mit"].split()
+    long = " ".join(["word"] * 20_000 + mit + ["word"] * 20_000)
+    # two rows of one id hold half of a licence each: neither has it
+    rows = [(1, long, "a"), (7, " ".join(mit[:80]), "a"), (7, " ".join(mit[80:]), "a"), (8, "Released under the MIT License", "a"), (8, "Released under the MIT License", "a")]
+    got = sorted((r.doc_id, r.license, r.containment) for r in scan(docs(spark, *rows).withColumn("stride", F.lit("clash"))).collect())
+    assert got == [(1, "mit", 1.0), (8, "mit-notice", 1.0), (8, "mit-notice", 1.0)]
+
+
+def test_every_template_is_found_in_its_own_text(spark):
+    from seqframe.llm.licenses import TEMPLATES
+
+    text = " ".join(f"{t} filler{i}" for i, t in enumerate(TEMPLATES.values()))
+    assert {r.license for r in scan(docs(spark, (1, text, "a"))).collect()} == set(TEMPLATES)
