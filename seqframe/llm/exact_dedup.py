@@ -1,22 +1,28 @@
 """Exact de-duplication of texts by two Bloom passes.
 
-The first pass sets ``HASHES`` cells for each text's digest in a filter whose size follows the row count,
-and keeps the cells that were set more than once, packed as 64-bit words. The second pass tests every
-digest against these words. A text that occurs twice always has all its cells set twice, so only rows
-that pass can have an equal: they alone are grouped by digest, which settles false alarms exactly. All
-other rows stand alone and go straight to the result.
+Digests fall into groups of bounded size by ranges of their hash; each group has a filter of its own. The
+first pass sets ``HASHES`` cells for each digest and keeps, one bit a cell, those that were set more than
+once; equal cells are counted before they are shuffled, and no text is. The second pass tests the digests
+against the filter, which is broadcast. A text that occurs twice always has all its cells set twice, so
+only rows that pass can have an equal: they alone are shuffled and grouped by digest, which settles false
+alarms exactly. All other rows stand alone and go straight to the result.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqframe.llm.scratch import written
+from seqframe.llm.scratch import dropped, written
 
 HASHES = 2
 CELLS_A_ROW = 16
-BROADCAST_WORDS = 2_000_000
+#: Rows of a group, on average: its filter has 2 bytes a row, so at most 128 MB are broadcast at any size of the table.
+ROWS_A_GROUP = 1 << 26
+#: Cells of one row of the filter (4 KB).
+SLICE = 32768
 
 
 def normalised(text: str = "text"):
@@ -24,8 +30,7 @@ def normalised(text: str = "text"):
     return F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
 
-def mark_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                    broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
+def mark_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_a_group: int = ROWS_A_GROUP) -> DataFrame:
     """One row per input row: ``doc_id, keep_id, group_size, kept, text_sha256``.
 
     * Null or empty text: equal to every other null or empty text.
@@ -35,27 +40,38 @@ def mark_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     digests = docs.select(F.col(id_col).alias("doc_id"), F.sha2(normalised(text_col), 256).alias("text_sha256"))
     digests = written(digests.withColumn("rid", F.monotonically_increasing_id()), "digests")
-    cells = 1
-    while cells < CELLS_A_ROW * max(1, digests.count()):
+    total = max(1, digests.count())
+    n_groups = -(-total // rows_a_group)
+    cells = SLICE
+    while cells * n_groups < CELLS_A_ROW * total:
         cells *= 2
+    if n_groups > 1:
+        grouped = written(digests.withColumn("part", F.pmod(F.xxhash64("text_sha256", F.lit(-1)), F.lit(n_groups)).cast("int")), "groups", ["part"])
+        dropped(digests)
+        parts = [grouped.where(F.col("part") == i).drop("part") for i in range(n_groups)]
+    else:
+        parts = [digests]
+    return reduce(DataFrame.unionByName, [_marked(part, cells) for part in parts])
+
+
+def _marked(digests: DataFrame, cells: int) -> DataFrame:
     at = [F.xxhash64("text_sha256", F.lit(i)).bitwiseAND(F.lit(cells - 1)) for i in range(HASHES)]
-    # pass 1: the cells hit more than once, as words of 64 bits
-    words = (
+    # pass 1: the cells hit more than once, as bitmaps of SLICE cells
+    bloom = (
         digests.select(F.explode(F.array(*at)).alias("cell")).groupBy("cell").count().where("count > 1")
-        .groupBy(F.shiftright("cell", 6).alias("word"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, cast(cell & 63 as int))")).alias("bits"))
+        .groupBy(F.expr(f"cast(cell div {SLICE} as int)").alias("slice")).agg(F.bitmap_construct_agg(F.col("cell") % SLICE).alias("bits"))
     )
-    words = written(words, "bloom")
-    small = words.count() <= broadcast_words
+    bloom = written(bloom, "bloom")
     # pass 2: rows with every cell set are possibly repeated
     probed = digests.withColumns({f"c{i}": a for i, a in enumerate(at)})
-    for i in range(HASHES):
-        side = words.select(F.col("word").alias(f"w{i}"), F.col("bits").alias(f"b{i}"))
-        probed = probed.join(F.broadcast(side) if small else side, F.shiftright(f"c{i}", 6) == F.col(f"w{i}"), "left")
     hit = F.lit(True)
     for i in range(HASHES):
-        hit = hit & F.expr(f"coalesce((b{i} & shiftleft(1L, cast(c{i} & 63 as int))) != 0, false)")
+        side = bloom.select(F.col("slice").alias(f"s{i}"), F.col("bits").alias(f"b{i}"))
+        probed = probed.join(F.broadcast(side), F.expr(f"cast(c{i} div {SLICE} as int)") == F.col(f"s{i}"), "left")
+        byte = F.conv(F.hex(F.substring(F.col(f"b{i}"), (F.expr(f"c{i} % {SLICE} div 8") + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+        hit = hit & F.coalesce(F.getbit(byte, F.expr(f"cast(c{i} % 8 as int)")) == 1, F.lit(False))
     probed = written(probed.select("doc_id", "rid", "text_sha256", hit.alias("maybe")), "probed")
+    dropped(bloom)
     alone = probed.where(~F.col("maybe")).select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
         F.lit(True).alias("kept"), "text_sha256",

@@ -34,11 +34,14 @@ def shared_dir(spark: SparkSession) -> str:
 _LOCAL: str | None = None
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends here and a lost executor costs nothing."""
+def written(df: DataFrame, name: str, parts: list[str] | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage ends here and a lost executor costs nothing.
+
+    parts: columns that become folders.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/llm/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(*parts) if parts else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -47,8 +50,9 @@ def dropped(*tables: DataFrame) -> None:
     for df in tables:
         files = df.inputFiles()
         if files:
-            folder = files[0].rsplit("/", 1)[0]
-            if "/llm/" in folder:
+            _, app, rest = files[0].partition(f"/llm/{df.sparkSession.sparkContext.applicationId}/")
+            folder = files[0][: len(files[0]) - len(rest)] + rest.split("/")[0]
+            if app and rest:
                 jvm, spark = df.sparkSession._jvm, df.sparkSession
                 path = jvm.org.apache.hadoop.fs.Path(folder)
                 path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -30,9 +30,9 @@ def test_query_equals_sql(spark, duck, data, name):
     assert plain([tuple(r) for r in got.collect()], got.columns) == plain(rows.fetchall(), columns)
 
 
-@pytest.mark.parametrize("broadcast_words", [0, 1000])
-def test_exact_dedup_odd_rows(spark, broadcast_words):
-    got = mark_duplicates(docs(spark, *ODD).withColumn("keep_id", F.lit("clash")), broadcast_words=broadcast_words).collect()
+@pytest.mark.parametrize("rows_a_group", [3, 1000])
+def test_exact_dedup_odd_rows(spark, rows_a_group):
+    got = mark_duplicates(docs(spark, *ODD).withColumn("keep_id", F.lit("clash")), rows_a_group=rows_a_group).collect()
     assert len(got) == len(ODD)
     assert sorted((r.doc_id or 0, r.keep_id, r.group_size, r.kept) for r in got if r.text_sha256 == hashlib.sha256(b"x y").hexdigest()) == [
         (0, 3, 4, False), (3, 3, 4, False), (3, 3, 4, True), (4, 3, 4, False)]
