@@ -105,3 +105,41 @@ def saturated(c: Column | str, limit: int = 16383) -> Column:
 def fasta_lines(seq: Column | str, width: int = 60) -> Column:
     """The sequence in lines of ``width``."""
     return F.regexp_replace(_col(seq), f"(.{{{width}}})(?!$)", "$1\n")
+
+
+def protein(c: Column | str) -> Column:
+    """The amino acids of the codons from the first base on."""
+    c = _col(c)
+    n = F.length(c)
+    each = with_bytes(c, lambda b: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n - 2), F.lit(3)), lambda i: translate_codon(piece(b, i, 3))))
+    return F.when(n < 3, "").otherwise(F.array_join(each, ""))
+
+
+def commas(c: Column | str) -> Column:
+    """A whole number with commas between thousands."""
+    return F.format_number(_col(c), 0)
+
+
+def number_or_max(c: Column | str, most: int) -> Column:
+    return F.when(_col(c) >= most, "max").otherwise(_col(c).cast("string"))
+
+
+def true_false(c: Column | str) -> Column:
+    return F.when(_col(c), "true").otherwise("false")
+
+
+def stripped(c: Column | str, end: str) -> Column:
+    """Without one character at the end, where it is ``end``."""
+    c = _col(c)
+    return F.when(c.endswith(end), F.left(c, F.length(c) - 1)).otherwise(c)
+
+
+def first_visible(c: Column | str) -> Column:
+    """The first character that is no white space, else a space."""
+    found = F.regexp_extract(_col(c), r"(\S)", 1)
+    return F.when(found == "", " ").otherwise(found)
+
+
+def fastq_of(quality: Column | str) -> Column:
+    """Qualities (array of int) as text, one character each, 0 as the digit 0."""
+    return F.array_join(F.transform(_col(quality), lambda q: F.chr(q + 48)), "")

@@ -73,13 +73,39 @@ def group_intervals(rows: DataFrame, distance: int = 100, least: int = 2000) ->
 
 
 def cut_sections(seqs: DataFrame, sections: DataFrame, buffer: int = 0) -> DataFrame:
-    """``contig, start, end, seq``; start > end reads the other strand. Ends move by ``buffer`` and stay on the sequence."""
-    lo = F.greatest(F.lit(1), F.least("start", "end") - buffer)
-    hi = F.least(F.length("seq"), F.greatest("start", "end") + buffer)
-    x = sections.join(seqs.select(F.col("id").alias("of"), "seq"), F.col("contig") == F.col("of")).select("contig", "start", "end", "seq", lo.alias("lo"), hi.alias("hi"))
-    piece = F.expr("substring(seq, lo, greatest(0, hi - lo + 1))")
+    """``contig, start, end, seq``; start > end reads the other strand. Both ends move by ``buffer`` and are kept in [1, length].
+
+    A contig that has no sequence is an error.
+    """
+    n = F.length("seq")
+    inside = lambda c: F.greatest(F.lit(1), F.least(n, c))
+    x = sections.join(seqs.select(F.col("id").alias("of"), "seq"), F.col("contig") == F.col("of"), "left")
+    known = F.when(F.col("of").isNotNull(), F.col("seq")).otherwise(F.raise_error(F.concat(F.lit("no sequence for "), F.col("contig").cast("string"))))
+    x = x.withColumn("seq", known).select(
+        "contig", "start", "end", "seq", inside(F.least("start", "end") - buffer).alias("lo"), inside(F.greatest("start", "end") + buffer).alias("hi")
+    )
+    piece = F.expr("substring(seq, lo, hi - lo + 1)")
     rev = F.col("start") > F.col("end")
     return x.select(
         "contig", F.when(rev, F.col("hi")).otherwise(F.col("lo")).alias("start"), F.when(rev, F.col("lo")).otherwise(F.col("hi")).alias("end"),
         F.when(rev, reverse_complement(piece)).otherwise(piece).alias("seq"),
     )
+
+
+def windows_at(points: DataFrame, before: int, after: int, most_prec: int) -> DataFrame:
+    """``contig, start, end``: sections around endpoints of at most this precision value, along their direction, kept in [1, len].
+
+    The last 100 bases and 3 more of an end: before=99, after=3; 1,500 bases from 5 before a start: before=5, after=1494.
+    """
+    fwd = F.col("dir") == "f"
+    inside = lambda c: F.greatest(F.lit(1), F.least("len", c)).cast("int")
+    return points.where(F.col("prec") <= most_prec).select(
+        F.col("id").alias("contig"), inside(F.when(fwd, F.col("pos") - before).otherwise(F.col("pos") + before)).alias("start"),
+        inside(F.when(fwd, F.col("pos") + after).otherwise(F.col("pos") - after)).alias("end"),
+    )
+
+
+def selected(rows: DataFrame, identity: float = 0.0, len_r: int = 0, len_q: int = 0, reach: int | None = None) -> DataFrame:
+    """Alignments of at least this identity and these aligned lengths; reach: those that end at this place of the reference."""
+    out = rows.where((F.col("idy") >= identity) & (F.col("len1") >= len_r) & (F.col("len2") >= len_q))
+    return out if reach is None else out.where(F.col("e1") == reach)

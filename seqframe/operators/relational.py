@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from seqframe.functions.sequence import places, reverse_complement
+from seqframe.sources.tables import written
 
 
 def select_tags(df: DataFrame, tags: DataFrame, keep: bool = True) -> DataFrame:
@@ -80,13 +81,30 @@ def distance_matrix(rows: DataFrame) -> DataFrame:
     return both.groupBy("a", "b").agg((1 - F.sum("sim") * 0.5).alias("d")).unionByName(ids)
 
 
-def consensus(block: DataFrame) -> DataFrame:
-    """``seq``: the most frequent character of each column of aligned sequences (smallest of equals) without gaps."""
-    size = block.agg(F.min(F.length("seq")).alias("lo"), F.max(F.length("seq")).alias("hi"))
-    rows = block.select(F.posexplode(F.split("seq", "")).alias("pos", "base")).groupBy("pos", "base").count()
+def consensus(block: DataFrame, pad: bool = False) -> DataFrame:
+    """``seq``: the most frequent character of each column of aligned sequences (smallest of equals) without gaps.
+
+    pad: shorter sequences count as filled up with gaps; else they are an error.
+    """
+    size = block.agg(F.min(F.length("seq")).alias("lo"), F.max(F.length("seq")).alias("hi"), F.count("*").alias("n"))
+    rows = block.select(F.posexplode(F.split("seq", "")).alias("pos", "base")).where("base <> ''").groupBy("pos", "base").count()
+    # gaps that fill up are counted, not made
+    short = rows.groupBy("pos").agg(F.sum("count").alias("c")).join(F.broadcast(size), F.lit(True)).select("pos", F.lit("-").alias("base"), (F.col("n") - F.col("c")).alias("count"))
+    rows = rows.unionByName(short).groupBy("pos", "base").agg(F.sum("count").alias("count"))
     best = rows.groupBy("pos").agg(F.min_by("base", F.struct(-F.col("count"), F.col("base"))).alias("base")).where("base <> '-'")
     joined = best.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "base"))), lambda x: x["base"]), "").alias("seq"))
-    return joined.join(F.broadcast(size)).select(F.when(F.col("lo") == F.col("hi"), F.col("seq")).otherwise(F.raise_error(F.lit("sequences differ in length"))).alias("seq"))
+    even = F.lit(pad) | (F.col("lo") == F.col("hi")) | F.col("lo").isNull()
+    return joined.join(F.broadcast(size)).select(F.when(even, F.col("seq")).otherwise(F.raise_error(F.lit("sequences differ in length"))).alias("seq"))
+
+
+def numbered(df: DataFrame, order: list[str], pattern: str, column: str = "id") -> DataFrame:
+    """``df`` with ids such as p0001 (pattern "p%04d") in this order; rows are numbered by sorted partitions, not in one task."""
+    ordered = written(df.orderBy(*order).withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id()), "numbered")
+    sizes = ordered.groupBy(F.col("__p").alias("__q")).agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__q").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    x = ordered.join(F.broadcast(sizes.select("__q", before.alias("__b"))), F.col("__p") == F.col("__q"))
+    place = F.col("__b") + F.col("__i") - F.shiftleft(F.col("__p").cast("long"), 33) + 1
+    return x.select(F.format_string(pattern, place).alias(column), *[F.col(c) for c in df.columns if c != column])
 
 
 def primer_matches(seqs: DataFrame, primers: list[str], side: str) -> DataFrame:

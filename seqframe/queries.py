@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqframe.functions.sequence import canonical, dna_of, reverse_complement, translate_codon
-from seqframe.operators import cluster, graph, intervals, kmers, relational, scans, stats
+from seqframe.functions.sequence import acgt_reverse_complement, dna_of, protein, reverse_complement
+from seqframe.operators import align, cluster, graph, intervals, kmers, overlap, relational, repair, scans, stats
 
 K = 31
 PRIMERS_F, PRIMERS_R = ["ACGTCAT", "TTGCAAT"], ["GATTGCA", "CATTGCA"]
@@ -50,10 +50,14 @@ def overlaps(spark: SparkSession, d: str) -> DataFrame:
         F.concat(F.lit("r"), F.col("l_partkey") % 997).alias("ref"), F.concat(F.lit("r"), F.col("l_suppkey") % 991).alias("qry"), F.lit(1).alias("s1"),
         F.col("q").cast("int").alias("e1"), F.when(F.col("l") > 3, 1).otherwise(2).alias("s2"), (F.col("q") + 10).cast("int").alias("e2"), F.lit(50).alias("len_r"),
         F.when(F.col("l") > 2, (F.col("q") + 10).cast("int")).otherwise(90).alias("len_q"), (90 + F.col("l") * 1.5).cast("double").alias("idy"),
-        cov("q").alias("cov_r"), cov("q").alias("cov_q"),
+        cov("q").alias("cov_r"), cov("q").alias("cov_q"), F.col("q").cast("int").alias("len1"), F.col("q").cast("int").alias("len2"),
     )
 
 
+def items(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("id"), dna_of("text").alias("seq"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     seq = sequences
     return {
@@ -61,8 +65,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "kmer_range": lambda s, d: kmers.count_range(kmers.count_kmers(seq(s, d), K), 3, 40),
         "kmer_suffix": lambda s, d: kmers.with_ends(counts(s, d), "AAGGT"),
         "revcomp": lambda s, d: seq(s, d).select("id", F.sha2(reverse_complement("seq"), 256).alias("rc")),
-        "canonical": lambda s, d: seq(s, d).where(F.length("seq") >= K).select("id", canonical(F.substring("seq", 1, K)).alias("kmer")),
-        "codon": lambda s, d: seq(s, d).where(F.length("seq") >= 3).select("id", translate_codon(F.substring("seq", 1, 3)).alias("aa")),
+        "canonical": lambda s, d: seq(s, d).select("id", F.sha2(F.least("seq", acgt_reverse_complement("seq")), 256).alias("seq")),
+        "codon": lambda s, d: seq(s, d).select("id", F.sha2(protein("seq"), 256).alias("aa")),
         "seq_len": lambda s, d: seq(s, d).where(F.length("seq") > 0).select("id", F.length("seq").alias("len")),
         "long_seqs": lambda s, d: seq(s, d).where(F.length("seq") > 1000).select("id", F.sha2("seq", 256).alias("seq")),
         "tag_semi": lambda s, d: relational.select_tags(seq(s, d), table(s, d, "labels").where("quality = 1").select(F.col("doc_id").alias("id"))).select("id"),
@@ -100,11 +104,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "unify": lambda s, d: relational.unify(overlaps(s, d).select(F.col("ref").alias("id")).distinct(), overlaps(s, d).select(F.col("qry").alias("id")).distinct(), overlaps(s, d)),
         "distance_matrix": lambda s, d: relational.distance_matrix(overlaps(s, d)),
         "complete_linkage": lambda s, d: cluster.cluster(relational.distance_matrix(overlaps(s, d)), 0.5),
-        "consensus": lambda s, d: relational.consensus(seq(s, d).where(F.length("seq") >= 200).select("id", F.substring("seq", 1, 200).alias("seq"))),
+        "consensus": lambda s, d: relational.consensus(seq(s, d), pad=True),
         "primer_pairs": lambda s, d: relational.primer_pairs(seq(s, d), PRIMERS_F, PRIMERS_R).groupBy("id", "lo_primer", "hi_primer").agg(F.count("*").alias("n"), F.min("len").alias("shortest"), F.max("len").alias("longest")),
         "edit_distance": lambda s, d: table(s, d, "part").select("p_partkey", F.levenshtein("p_name", "p_type", 12).alias("d")),
         "unitigs": lambda s, d: graph.unitig_sequences(counts(s, d, lo=8)).select("head", F.col("n").cast("long").alias("n"), F.sha2("seq", 256).alias("seq")),
-        "walk": lambda s, d: graph.walk(scans.start_mer(seq(s, d), 21).select(F.col("id").cast("string").alias("tag"), "kmer"), counts(s, d, 21, 8), 12),
+        "walk": lambda s, d: graph.walk(scans.start_mer(seq(s, d), 21).select(F.col("id").cast("string").alias("tag"), "kmer"), counts(s, d, 21, 8), 12, direction="B"),
+        "repair": lambda s, d: repair.repair(seq(s, d), counts(s, d, 21, 3), 21, 40, 100).select("id", F.sha2("seq", 256).alias("seq"), "corrected"),
+        "unitig_layout": lambda s, d: overlap.layout(overlaps(s, d)),
+        "align": lambda s, d: align.align(items(s, d), seq(s, d)),
+        "best_hits": lambda s, d: align.best_hits(overlaps(s, d), 95.0).select("ref", "qry", "s1", "e1", "s2", "e2", "idy"),
+        "alignment_regions": lambda s, d: intervals.region_of(overlaps(s, d)),
+        "alignment_ends": lambda s, d: intervals.endpoint_of(overlaps(s, d)),
+        "alignment_starts": lambda s, d: intervals.endpoint_of(overlaps(s, d), end=False),
+        "end_windows": lambda s, d: intervals.windows_at(intervals.endpoint_of(overlaps(s, d)), 99, 3, 20),
+        "alignment_select": lambda s, d: intervals.selected(overlaps(s, d), 95.0, len_q=20).select("ref", "qry", "len2", "idy"),
+        "number_rows": lambda s, d: relational.numbered(table(s, d, "documents").select("doc_id"), ["doc_id"], "p%04d", "tag"),
     }
 
 
@@ -139,8 +153,11 @@ def oracle_sql() -> dict[str, str]:
         "kmer_range": f"WITH {_S}, {p}, {c} SELECT * FROM c{K} WHERE cnt BETWEEN 3 AND 40",
         "kmer_suffix": f"WITH {_S}, {p}, {c} SELECT kmer, cnt FROM (SELECT DISTINCT unnest([kmer, {_RC('kmer')}]) AS kmer, cnt FROM c{K}) WHERE suffix(kmer, 'AAGGT')",
         "revcomp": f"WITH {_S} SELECT id, sha256({_RC('seq')}) AS rc FROM s",
-        "canonical": f"WITH {_S} SELECT id, least(left(seq, {K}), {_RC(f'left(seq, {K})')}) AS kmer FROM s WHERE length(seq) >= {K}",
-        "codon": f"WITH {_S} SELECT id, substr('FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG', ((instr('TCAG', seq[1]) - 1) * 16 + (instr('TCAG', seq[2]) - 1) * 4 + instr('TCAG', seq[3]))::BIGINT, 1) AS aa FROM s WHERE length(seq) >= 3",
+        "canonical": f"WITH {_S} SELECT id, sha256(least(seq, {_RC('seq')})) AS seq FROM s",
+        "codon": f"""WITH {_S}, c AS (SELECT id, seq, unnest(range(1, length(seq) - 1, 3)) AS i FROM s),
+            a AS (SELECT id, string_agg(substr('FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG',
+              ((instr('TCAG', substr(seq, i, 1)) - 1) * 16 + (instr('TCAG', substr(seq, i + 1, 1)) - 1) * 4 + instr('TCAG', substr(seq, i + 2, 1)))::BIGINT, 1), '' ORDER BY i) AS aa FROM c GROUP BY id)
+            SELECT s.id, sha256(coalesce(aa, '')) AS aa FROM s LEFT JOIN a ON s.id = a.id""",
         "seq_len": f"WITH {_S} SELECT id, length(seq)::INT AS len FROM s WHERE length(seq) > 0",
         "long_seqs": f"WITH {_S} SELECT id, sha256(seq) AS seq FROM s WHERE length(seq) > 1000",
         "tag_semi": "SELECT doc_id AS id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)",
@@ -172,14 +189,21 @@ def oracle_sql() -> dict[str, str]:
             k AS (SELECT *, sum((reach IS NULL OR lo > reach + 100)::INT) OVER (PARTITION BY id ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS grp FROM m)
             SELECT id AS qry, min(lo) AS "start", max(hi) AS "end" FROM k GROUP BY id, grp HAVING max(hi) - min(lo) + 1 >= 2000""",
         "cut_sections": f"""WITH {_S}, l AS (SELECT doc_id, quality * 90 + 10 AS a, 60 + toxic * 30 AS b FROM labels),
-            x AS (SELECT id, seq, a, b, greatest(1, least(a, b) - 5) AS lo, least(length(seq), greatest(a, b) + 5) AS hi FROM l JOIN s ON doc_id = id)
+            x AS (SELECT id, seq, a, b, greatest(1, least(length(seq), least(a, b) - 5)) AS lo, greatest(1, least(length(seq), greatest(a, b) + 5)) AS hi FROM l JOIN s ON doc_id = id)
             SELECT id AS contig, (CASE WHEN a > b THEN hi ELSE lo END)::INT AS "start", (CASE WHEN a > b THEN lo ELSE hi END)::INT AS "end",
-              CASE WHEN a > b THEN {_RC('substr(seq, lo, greatest(0, hi - lo + 1))')} ELSE substr(seq, lo, greatest(0, hi - lo + 1)) END AS seq FROM x""",
+              CASE WHEN a > b THEN {_RC('substr(seq, lo, hi - lo + 1)')} ELSE substr(seq, lo, hi - lo + 1) END AS seq FROM x""",
         "first_seen": "SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY ALL",
         "unique_path": "SELECT conv_id, turn, variant FROM (SELECT *, lead(variant) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM (SELECT conv_id, turn, CASE WHEN role = 'user' THEN 1 ELSE 2 END AS variant FROM conversations)) WHERE variant = 1 AND (nxt IS NULL OR nxt = 1)",
-        "n50": "WITH v AS (SELECT round(o_totalprice * 100)::BIGINT AS v FROM orders), r AS (SELECT v, sum(v) OVER (ORDER BY v DESC) AS t, sum(v) OVER () AS total FROM v) SELECT max(v) FILTER (t * 2 >= total) AS n50, count(*) AS n, sum(v)::BIGINT AS total FROM r",
+        "n50": """WITH v AS (SELECT round(o_totalprice * 100)::BIGINT AS v FROM orders),
+            r AS (SELECT v, row_number() OVER w AS k, sum(v) OVER w AS t, lag(v) OVER w AS before, sum(v) OVER () AS total FROM v WINDOW w AS (ORDER BY v DESC ROWS UNBOUNDED PRECEDING)),
+            u AS (SELECT * FROM r WHERE t - v < total), h AS (SELECT * FROM r WHERE t * 2 >= total ORDER BY k LIMIT 1)
+            SELECT any_value(h.v) AS n50, any_value(h.k) AS i, any_value(h.before) AS prior, (SELECT count(*) FROM v) AS n, any_value(u.total)::BIGINT AS total, count(*) AS used,
+              avg(u.v) AS mean, median(u.v) AS median, max(u.v) AS max, min(u.v) AS min FROM u, h""",
         "quantile": "WITH l AS (SELECT list_sort(list(l_quantity)) AS l, (count(*) - 1) * 0.37::DOUBLE AS w FROM lineitem) SELECT (l[floor(w)::BIGINT + 1] + l[ceil(w)::BIGINT + 1]) / 2 AS q FROM l",
-        "quantile_bins": "WITH c AS (SELECT l_quantity AS v, count(*) AS c FROM lineitem GROUP BY 1), t AS (SELECT *, sum(c) OVER (ORDER BY v) - c AS below, sum(c) OVER () AS n FROM c) SELECT (below * 7 // n)::INT AS bin, min(v) AS lo, max(v) AS hi, sum(c)::BIGINT AS size FROM t GROUP BY 1",
+        "quantile_bins": """WITH RECURSIVE c AS (SELECT l_quantity AS v, count(*) AS c FROM lineitem GROUP BY 1),
+            t AS (SELECT v, c, sum(c) OVER (ORDER BY v) - c AS below, sum(c) OVER () AS n, row_number() OVER (ORDER BY v) AS k FROM c),
+            b AS (SELECT k, v, c, 0 AS bin FROM t WHERE k = 1 UNION ALL SELECT t.k, t.v, t.c, CASE WHEN t.below >= t.n / 7.0 * (b.bin + 1) THEN b.bin + 1 ELSE b.bin END FROM b JOIN t ON t.k = b.k + 1)
+            SELECT bin, min(v) AS lo, max(v) AS hi, sum(c)::BIGINT AS size FROM b GROUP BY 1""",
         "describe": "SELECT l_returnflag, count(l_quantity) AS n, avg(l_quantity) AS mean, var_pop(l_quantity) AS variance, stddev_pop(l_quantity) AS sd, median(l_quantity) AS median FROM lineitem GROUP BY 1",
         "least_squares": "SELECT l_returnflag, regr_slope(l_tax, l_quantity) AS slope, regr_intercept(l_tax, l_quantity) AS intercept FROM lineitem GROUP BY 1",
         "pearson": "SELECT l_returnflag, corr(l_quantity, l_discount) AS r FROM lineitem GROUP BY 1",
@@ -198,11 +222,24 @@ def oracle_sql() -> dict[str, str]:
         "distance_matrix": f"""WITH {_O}, s AS (SELECT ref, qry, max(CASE WHEN s1 = 1 AND e1 >= len_r - 4 THEN idy ELSE 0 END) / 100 AS sim FROM o WHERE ref <> qry GROUP BY ALL),
             b AS (SELECT ref AS a, qry AS b, sim FROM s UNION ALL SELECT qry, ref, sim FROM s)
             SELECT a, b, 1 - sum(sim) * 0.5 AS d FROM b GROUP BY a, b UNION ALL SELECT id, id, 0 FROM (SELECT ref AS id FROM o UNION SELECT qry FROM o)""",
-        "consensus": f"""WITH {_S}, p AS (SELECT i, substr(seq, i, 1) AS b, count(*) AS n FROM s, range(1, 201) r(i) WHERE length(seq) >= 200 GROUP BY ALL),
-            k AS (SELECT i, b, row_number() OVER (PARTITION BY i ORDER BY n DESC, b) AS k FROM p) SELECT string_agg(b, '' ORDER BY i) AS seq FROM k WHERE k = 1 AND b <> '-'""",
+        "consensus": f"""WITH {_S}, l AS (SELECT unnest(string_split(seq, '')) AS b, unnest(range(length(seq))) AS i FROM s WHERE seq <> ''),
+            p AS (SELECT i, b, count(*) AS n FROM l GROUP BY ALL), g AS (SELECT i, '-' AS b, (SELECT count(*) FROM s) - sum(n) AS n FROM p GROUP BY i),
+            k AS (SELECT i, b, row_number() OVER (PARTITION BY i ORDER BY n DESC, b) AS k FROM (SELECT * FROM p UNION ALL SELECT * FROM g))
+            SELECT coalesce(string_agg(b, '' ORDER BY i), '') AS seq FROM k WHERE k = 1 AND b <> '-'""",
         "primer_pairs": f"""WITH {_S}, r AS (SELECT id, seq, {_RC('seq')} AS rc FROM s), f AS ({_PRIMER(PRIMERS_F, 'seq')}), b AS ({_PRIMER(PRIMERS_R, 'rc')})
             SELECT f.id, f.which AS lo_primer, b.which AS hi_primer, count(*) AS n, min(b.n - b.p + 2 - f.p)::INT AS shortest, max(b.n - b.p + 2 - f.p)::INT AS longest
             FROM f JOIN b ON f.id = b.id AND f.p < b.n - b.p + 1 GROUP BY ALL""",
+        "alignment_regions": f"""WITH {_O} SELECT qry AS id, CASE WHEN s2 < e2 THEN s2 ELSE greatest(1, e2 - (len_r - e1) - 100) END AS lo,
+            CASE WHEN s2 < e2 THEN least(len_q, e2 + len_r - e1 + 100) ELSE s2 END AS hi, CASE WHEN s2 < e2 THEN 'f' ELSE 'r' END AS dir FROM o""",
+        "alignment_ends": f"WITH {_O} SELECT qry AS id, CASE WHEN s2 < e2 THEN e2 + len_r - e1 ELSE e2 - (len_r - e1) END AS pos, CASE WHEN s2 < e2 THEN 'f' ELSE 'r' END AS dir, len_q AS len, len_r - e1 AS prec FROM o",
+        "alignment_starts": f"WITH {_O} SELECT qry AS id, CASE WHEN s2 < e2 THEN s2 - (s1 - 1) ELSE s2 + s1 - 1 END AS pos, CASE WHEN s2 < e2 THEN 'f' ELSE 'r' END AS dir, len_q AS len, s1 - 1 AS prec FROM o",
+        "end_windows": f"""WITH {_O}, e AS (SELECT qry, e2 + len_r - e1 AS pos, s2 < e2 AS fwd, len_q, e2 - (len_r - e1) AS back FROM o WHERE len_r - e1 <= 20)
+            SELECT qry AS contig, greatest(1, least(len_q, CASE WHEN fwd THEN pos - 99 ELSE back + 99 END)) AS "start", greatest(1, least(len_q, CASE WHEN fwd THEN pos + 3 ELSE back - 3 END)) AS "end" FROM e""",
+        "alignment_select": f"WITH {_O} SELECT ref, qry, e1 AS len2, idy FROM o WHERE idy >= 95 AND e1 >= 20",
+        "best_hits": f"""WITH {_O}, x AS (SELECT *, least(s2, e2) AS lo, greatest(s2, e2) AS hi, e1 * idy AS worth FROM o WHERE idy >= 95)
+            SELECT ref, qry, s1, e1, s2, e2, idy FROM x a WHERE NOT EXISTS (SELECT 1 FROM x b WHERE a.qry = b.qry AND b.lo <= a.lo AND b.hi >= a.hi
+              AND (b.worth > a.worth OR b.worth = a.worth AND (b.ref < a.ref OR b.ref = a.ref AND (b.s1 < a.s1 OR b.s1 = a.s1 AND (b.e1 < a.e1 OR b.e1 = a.e1 AND b.s2 < a.s2)))))""",
+        "number_rows": "SELECT printf('p%04d', row_number() OVER (ORDER BY doc_id)) AS tag, doc_id FROM documents",
         "edit_distance": "SELECT p_partkey, (CASE WHEN levenshtein(p_name, p_type) > 12 THEN -1 ELSE levenshtein(p_name, p_type) END)::INT AS d FROM part",
         "unitigs": f"""WITH RECURSIVE {_S}, {p}, {_C(K, 8)}, {_BOTH(K)}, i AS (SELECT dst AS k FROM l GROUP BY 1 HAVING count(*) = 1), o AS (SELECT src AS k FROM l GROUP BY 1 HAVING count(*) = 1),
             e AS (SELECT src, dst FROM l WHERE src IN (SELECT k FROM o) AND dst IN (SELECT k FROM i)), a AS (SELECT src AS k FROM l UNION SELECT dst FROM l),

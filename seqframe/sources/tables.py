@@ -7,7 +7,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from seqframe.functions.sequence import fasta_lines
 
@@ -84,10 +83,55 @@ def read_starts(spark: SparkSession, path: str, k: int) -> DataFrame:
 
 
 def read_lower_triangle(spark: SparkSession, path: str) -> DataFrame:
-    """``a, b, d`` in both directions from a lower-triangular distance file: a count, then a name and the distances to the names above."""
-    x = spark.read.text(path).select(F.monotonically_increasing_id().alias("o"), F.split(F.trim("value"), r"\s+").alias("f")).where("o > 0 and size(f) > 0")
-    x = x.withColumn("i", F.row_number().over(Window.orderBy("o")) - 1)
-    names = x.select(F.col("i").alias("j"), F.col("f")[0].alias("b"))
-    rows = x.select(F.col("f")[0].alias("a"), F.posexplode(F.expr("slice(f, 2, size(f))")).alias("p", "d")).join(names, F.col("p") == F.col("j"))
+    """``a, b, d`` in both directions from a lower-triangular distance file: a count, then a name and the distances to the names above.
+
+    The place of a name is the number of distances it has, so no row is numbered.
+    """
+    x = spark.read.text(path).select(F.split(F.trim("value"), r"\s+").alias("f"))
+    x = x.where("size(f) > 1 or try_cast(f[0] as int) is null").where("f[0] <> ''").select(F.col("f")[0].alias("a"), F.expr("slice(f, 2, size(f))").alias("ds"))
+    names = x.select(F.size("ds").alias("j"), F.col("a").alias("b"))
+    rows = x.select("a", F.posexplode("ds").alias("p", "d")).join(names, F.col("p") == F.col("j"))
     half = rows.select("a", "b", F.col("d").cast("double").alias("d"))
     return half.unionByName(half.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
+
+
+def read_quality(spark: SparkSession, path: str) -> DataFrame:
+    """``ord, id, qual``: numbers in white space under headers, as array<int>."""
+    raw = spark.read.option("lineSep", "\n>").text(path)
+    x = raw.select(F.monotonically_increasing_id().alias("ord"), F.regexp_replace(F.regexp_replace("value", "\r", ""), r"^\s*>", "").alias("v")).where(F.trim("v") != "")
+    body = F.trim(F.regexp_replace(F.expr("substring(v, length(substring_index(v, '\n', 1)) + 1)"), r"\s+", " "))
+    head = F.regexp_extract(F.trim(F.substring_index("v", "\n", 1)), r"^(\S*)", 1)
+    return x.select("ord", head.alias("id"), F.when(body == "", F.array().cast("array<int>")).otherwise(F.split(body, " ").cast("array<int>")).alias("qual"))
+
+
+def read_matrix(spark: SparkSession, path: str) -> DataFrame:
+    """``a, b, d`` in long form from a tab-separated square matrix with names in its first row and column."""
+    x = spark.read.csv(path, sep="\t", header=True)
+    first, rest = x.columns[0], x.columns[1:]
+    return x.unpivot([first], rest, "b", "d").select(F.col(first).alias("a"), "b", F.col("d").cast("double").alias("d"))
+
+
+def one_start(spark: SparkSession, kmer: str, tag: str = "walk_string") -> DataFrame:
+    """A list of starts with one k-mer, upper case."""
+    return spark.range(1).select(F.col("id").alias("ord"), F.lit(tag).alias("tag"), F.lit(kmer.upper()).alias("kmer"), F.lit("R").alias("dir"))
+
+
+def write_table(df: DataFrame, path: str) -> None:
+    """Rows with tabs between fields."""
+    df.write.csv(path, sep="\t")
+
+
+def write_counts(counts: DataFrame, path: str) -> None:
+    """K-mers in lower case and their counts, as a count table."""
+    counts.select(F.lower("kmer").alias("kmer"), "cnt").write.csv(path, sep=" ")
+
+
+def write_matrix(distances: DataFrame, path: str, names: list[str], missing: float = 1.0) -> None:
+    """The dense square matrix of ``names``; names is a parameter, as every row has a column for each."""
+    x = distances.where(F.col("a").isin(names)).groupBy("a").pivot("b", names).agg(F.min("d")).na.fill(missing)
+    x.write.csv(path, sep="\t", header=True)
+
+
+def write_parts(df: DataFrame, level: str, path: str) -> None:
+    """One folder for each value of ``level``."""
+    df.write.partitionBy(level).parquet(path)
