@@ -173,7 +173,11 @@ def _grouped(docs: DataFrame, words: int, num: int, den: int, id_col: str, text_
     classes = written(
         sets.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("rid").alias("node"), F.min("doc_id").alias("first_doc")), "classes"
     )
-    nodes = sets.join(classes.select("node"), F.col("rid") == F.col("node"), "left_semi").select("rid", "n", "prefix")
+    # the rows that stand for no class are few, and leaving them out spares a shuffle of the prefixes
+    of_class = classes.select(F.col("s1").alias("c1"), F.col("s2").alias("c2"), F.col("n").alias("c3"), "node")
+    others = sets.where("n > 0").select("rid", "s1", "s2", "n").join(of_class, (F.col("s1") == F.col("c1")) & (F.col("s2") == F.col("c2")) & (F.col("n") == F.col("c3")))
+    others = written(others.where("rid <> node").select(F.col("rid").alias("of")), "others")
+    nodes = sets.where("n > 0").join(others, F.col("rid") == F.col("of"), "left_anti").select("rid", "n", "prefix")
     parts = max(16, min(1 << 16, (all_shingles * (den - num) // den) // 200_000))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,7 +297,9 @@ def _grouped(docs: DataFrame, words: int, num: int, den: int, id_col: str, text_
     open_ = labelled.join(mixed, F.col("h") == F.col("of_h")).drop("of_h")
     # a pair of nodes is tested in one tile only, the smallest that both lie in
     held_in = open_.groupBy(F.col("node").alias("n_of")).agg(F.array_sort(F.collect_list("h")).alias("tiles"))
-    open_ = open_.join(sets.select(F.col("rid").alias("of"), "bits"), F.col("node") == F.col("of")).drop("of")
+    open_ = written(open_, "mixed")
+    own_bits = bits_of(sets, open_.select("node"))
+    open_ = open_.join(own_bits.select(F.col("rid").alias("of"), "bits"), F.col("node") == F.col("of")).drop("of")
     open_ = written(open_.join(held_in, F.col("node") == F.col("n_of")).drop("n_of"), "open")
     if not open_.isEmpty():
         split = written(open_.groupBy("h", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k")), "blocks")
@@ -353,6 +359,14 @@ def _grouped(docs: DataFrame, words: int, num: int, den: int, id_col: str, text_
     return out.select("doc_id", "k1", "k2", "n", "comp", F.coalesce("component_id", "doc_id").alias("component_id")), [sets, named]
 
 
+def bits_of(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``rid, n, bits`` of some nodes, written: all bitmaps are read past the list of nodes once, and only theirs are joined."""
+    wanted = written(nodes.select(F.col("node").alias("of")).distinct(), "wanted")
+    out = written(sets.select("rid", "n", "bits").join(wanted, F.col("rid") == F.col("of"), "left_semi"), "bits")
+    dropped(wanted)
+    return out
+
+
 def verified(pairs: DataFrame, sets: DataFrame, slim: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """The pairs that link: bit counts first, then sorted arrays."""
 
@@ -362,9 +376,11 @@ def verified(pairs: DataFrame, sets: DataFrame, slim: DataFrame, words: int, num
             ok = [may_link(x, y, p, q, num, den) for x, y, p, q in zip(batch["xa"].to_pylist(), batch["xb"].to_pylist(), na, nb, strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    side = lambda c: sets.select(F.col("rid").alias(f"r{c}"), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"x{c}"))
+    own = bits_of(sets, pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))))
+    side = lambda c: own.select(F.col("rid").alias(f"r{c}"), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"x{c}"))
     likely = pairs.join(side("a"), F.col("a") == F.col("ra")).join(side("b"), F.col("b") == F.col("rb"))
     likely = written(likely.select("a", "b", "na", "nb", "xa", "xb").mapInArrow(bound, "a long, b long"), "likely")
+    dropped(own)
     needed = likely.select(F.col("a").alias("node")).unionByName(likely.select(F.col("b").alias("node"))).distinct()
     needed = written(sets.join(needed, F.col("rid") == F.col("node")).select("node", "doc_id", "s1", "s2"), "needed")
 
