@@ -6,8 +6,9 @@ training text is cut to the words whose beginnings are far more frequent in toxi
 ordinary ones; README has figures for whole windows. Each window of a text is compressed with the ordinary
 dictionary and with both; windows that save at least ``window_gain`` bytes are compared again word by word
 (windows of one word), and words that save at least ``word_gain`` bytes are hits. Both thresholds, and the
-logistic curve that turns the number of hits and words into a score, are fitted on savings that
-dictionaries of the other folds of the sample give, so no document is measured by its own text.
+logistic curve that turns the number of hits and words into a score, are fitted on savings: of toxic
+documents those that dictionaries of the other folds of the sample give, so none is measured by its own
+text, and of ordinary ones those that the final dictionaries give.
 """
 
 from __future__ import annotations
@@ -188,6 +189,9 @@ def fit(rows: list[tuple[str, int]]) -> Model:
             part = dictionaries(pick(1, others), pick(0, others), every[1] - each[f][1], every[0] - each[f][0])
             for i in np.flatnonzero(fold == f):
                 savings[i] = part.savings(docs[i])
+    # ordinary documents are measured by the dictionaries that will be used: what these take for toxic must not pass
+    for i in np.flatnonzero(y == 0):
+        savings[i] = model.savings(docs[i])
     model.window_gain, model.word_gain = thresholds(savings, y)
     hits = [sum(sum(s >= model.word_gain for s in words) for saved, words in w if saved >= model.window_gain) for w in savings]
     model.weights = logistic(np.array([features(h, len(d)) for h, d in zip(hits, docs, strict=True)]), y)
