@@ -121,6 +121,8 @@ def search(items: Items, texts: pa.Array) -> list[tuple[int, int, float, int, in
     where = np.minimum(np.searchsorted(items.known, sh[hit]), len(items.known) - 1)
     same = items.known[where] == sh[hit]
     hit, where = hit[same], where[same]
+    if not len(hit):
+        return out
     doc = np.searchsorted(off, at[hit], side="right") - 1
     begins = np.flatnonzero(np.diff(doc, prepend=-1))
     for row, lo, hi in zip(doc[begins].tolist(), begins.tolist(), [*begins[1:].tolist(), len(doc)], strict=True):
@@ -195,7 +197,11 @@ def find_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the rows in which an item is found; columns and their order stay."""
+    """``docs`` without the rows in which an item is found; columns and their order stay, whatever their names.
+
+    Null and empty texts stay; ids are not read, so null and repeated ids are rows like others; equal texts
+    stay or go together; an empty table on either side leaves ``docs`` as it is.
+    """
     for block in item_blocks(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 

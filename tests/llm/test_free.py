@@ -249,6 +249,8 @@ def test_no_items_or_documents(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.find_items(docs(spark, (1, "a b c d e f")), none).count() == 0
     assert decontaminate.find_items(docs(spark), none).count() == 0
+    some = spark.createDataFrame([(1, "one two three four five six")], "item_id long, text string")
+    assert decontaminate.find_items(docs(spark, (1, "a b c d e f g h"), (2, None)), some).count() == 0
 
 
 def test_verbatim_items_with_repeats_against_all_windows():
