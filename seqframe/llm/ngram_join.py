@@ -22,12 +22,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqframe.llm.components import components, merged
 from seqframe.llm.scratch import dropped, written
-from seqframe.llm.substring_dedup import ASK_SQL, cut, packed
+from seqframe.llm.substring_dedup import ASK_SQL, cut
 from seqframe.llm.tokens import U, mix, shingle_sets
 
 LAST = np.iinfo(np.int64).max
@@ -44,6 +45,28 @@ FILTER_BITS = 1 << 28
 SETS_SQL = "doc_id long, k1 long, k2 long, n long, s1 long, s2 long, prefix binary, bits binary"
 
 
+def squeezed(x: np.ndarray) -> bytes:
+    """Entries in the order of their shingles, compressed: differences of shingles, nodes from the least one; column by column, byte by byte."""
+    least = x["node"].min()
+    columns = [np.diff(x["h"], prepend=U(0)), (x["node"] - least).astype(U), x["n"], x["pos"]]
+    planes = [np.ascontiguousarray(c).view(np.uint8).reshape(len(x), -1).T.tobytes() for c in columns]
+    return least.tobytes() + zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
+
+
+def unsqueezed(data: bytes) -> np.ndarray:
+    """The entries that squeezed() got."""
+    raw = zstandard.ZstdDecompressor().decompress(data[8:])
+    x = np.zeros(len(raw) // ENTRY.itemsize, ENTRY)
+    at = 0
+    for name, kind in (("h", "<u8"), ("node", "<u8"), ("n", "<u4"), ("pos", "<u4")):
+        size = np.dtype(kind).itemsize * len(x)
+        column = np.ascontiguousarray(np.frombuffer(raw, np.uint8, size, at).reshape(-1, len(x)).T).view(kind).ravel()
+        x[name] = np.cumsum(column, dtype=U) if name == "h" else column
+        at += size
+    x["node"] += np.frombuffer(data, "<i8", 1)[0]
+    return x
+
+
 def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(0, batch.num_rows, AT_ONCE):
@@ -200,17 +223,15 @@ def _grouped(docs: DataFrame, words: int, num: int, den: int, id_col: str, text_
         x = x[np.argsort(x["h"], kind="stable")]
         hot = is_common(x["h"])
         usual = x[~hot]
-        yield from packed(part, usual, cut(usual["h"], parts)).to_batches()
-        if hot.any():
-            step = 4096
-            hot_rows = x[hot]
-            data = [hot_rows[i : i + step].tobytes() for i in range(0, len(hot_rows), step)]
-            n = len(data)
-            # common shingles go to a part of their own kind, dealt by their count, not by their value
-            yield pa.RecordBatch.from_arrays([pa.array([-1 - (part * 31 + i) % 1024 for i in range(n)], pa.int32()), pa.array([part] * n, pa.int32()), pa.array(data, pa.binary())], ["part", "chunk", "data"])
+        bounds = cut(usual["h"], parts)
+        at = [(i, usual[bounds[i] : bounds[i + 1]]) for i in range(parts) if bounds[i] < bounds[i + 1]]
+        # common shingles go to parts of their own kind, dealt by their count, not by their value
+        at += [(-1 - (part * 31 + i // 4096) % 1024, x[hot][i : i + 4096]) for i in range(0, int(hot.sum()), 4096)]
+        data = pa.array([squeezed(piece) for _, piece in at], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in at], pa.int32()), pa.array([part] * len(at), pa.int32()), data], ["part", "chunk", "data"])
 
     def tiles(table: pa.Table) -> pa.Table:
-        x = np.frombuffer(b"".join(table["data"].to_pylist()), ENTRY)
+        x = np.concatenate([unsqueezed(d) for d in table["data"].to_pylist()])
         if table["part"][0].as_py() < 0:
             return tile_rows(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool), x)
         x = x[np.lexsort((x["node"], x["n"], x["h"]))]

@@ -87,6 +87,17 @@ def test_similar_groups_against_all_pairs(spark, monkeypatch, tile, least):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows, 4, 85, 100)
 
 
+@pytest.mark.parametrize("rows", [1, 7, 4096])
+def test_entries_come_back(rows):
+    rng = np.random.default_rng(rows)
+    x = np.zeros(rows, ngram_join.ENTRY)
+    x["h"] = np.sort(rng.integers(0, 1 << 64, rows, dtype=np.uint64))
+    x["h"][-1] = (1 << 64) - 1
+    x["node"] = rng.integers(0, 1 << 60, rows)
+    x["n"], x["pos"] = rng.integers(0, 1 << 32, rows), rng.integers(0, 1 << 32, rows)
+    assert (ngram_join.unsqueezed(ngram_join.squeezed(x)) == x).all()
+
+
 def test_similar_groups_of_odd_rows(spark):
     rng = random.Random(9)
     long = prose(rng, 20_000)
