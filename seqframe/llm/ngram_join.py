@@ -35,6 +35,8 @@ LAST = np.iinfo(np.int64).max
 MOST_COMMON = 1 << 20
 TILE = 128
 BLOCK = 512
+#: Pairs of small tiles that a task holds at a time.
+PAIRS_AT_ONCE = 1 << 20
 #: In a larger tile a node meets so many nodes after it, in one of so many orders.
 NEIGHBOURS, ORDERS = 2, 3
 ENTRY = np.dtype([("h", "<u8"), ("node", "<i8"), ("n", "<u4"), ("pos", "<u4")])
@@ -238,8 +240,13 @@ def _grouped(docs: DataFrame, words: int, num: int, den: int, id_col: str, text_
         first = np.flatnonzero(np.concatenate([[True], x["h"][1:] != x["h"][:-1]]))
         size = np.diff(np.append(first, len(x)))
         big = np.repeat(size > TILE, size)
-        a, b, near = pairs_in(x[~big & np.repeat(size > 1, size)])
-        return tile_rows(a, b, near, x[big])
+        few = x[~big & np.repeat(size > 1, size)]
+        # whole tiles, so many that their pairs stay few in memory; a pair may come out of several
+        size = size[(size > 1) & (size <= TILE)]
+        group = np.cumsum(size * (size - 1) // 2) // PAIRS_AT_ONCE
+        ends = np.cumsum(size)[np.flatnonzero(np.append(group[1:] != group[:-1], True))] if len(size) else np.zeros(0, np.int64)
+        found = [pairs_in(few[i:j]) for i, j in zip(np.concatenate([[0], ends[:-1]]), ends, strict=True)] if len(ends) else [pairs_in(few)]
+        return tile_rows(*(np.concatenate(c) for c in zip(*found, strict=True)), x[big])
 
     def pairs_in(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Pairs in one tile (rows sorted by shingle, size and node) that sizes and positions allow, and whether they follow each other there."""

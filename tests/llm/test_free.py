@@ -76,6 +76,7 @@ def brute_components(rows, words, num, den):
 def test_similar_groups_against_all_pairs(spark, monkeypatch, tile, least):
     monkeypatch.setattr(ngram_join, "TILE", tile)
     monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    monkeypatch.setattr(ngram_join, "PAIRS_AT_ONCE", 16)
     rng = random.Random(7)
     base, rows = [prose(rng, n) for n in (3, 8, 40, 90)], [(0, None), (1, ""), (2, " \n"), (3, "Ab c"), (4, "aB  C")]
     for i in range(10, 130):
