@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from seqframe.llm.decontaminate import drop_contaminated
-from seqframe.llm.mixing import mix
+from seqframe.llm.mixing import draw
 from seqframe.llm.ngram_join import keep_one
 from seqframe.llm.scratch import written
 from seqframe.llm.sharding import assign_shards
@@ -30,7 +30,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mixture draws them, with as many tokens in all as before."""
-    return mix(docs).drop("mix_block", "mix_rank")
+    return draw(docs)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

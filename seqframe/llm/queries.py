@@ -11,7 +11,7 @@ from seqframe.llm.decontaminate import find_items
 from seqframe.llm.exact_dedup import mark_duplicates
 from seqframe.llm.html_extract import page_table
 from seqframe.llm.licenses import TEMPLATES, scan, template_rows
-from seqframe.llm.mixing import ENTROPY, MAX_REPEATS, STEPS, mix_table
+from seqframe.llm.mixing import ENTROPY, MAX_REPEATS, SCALE, STEPS, mix_table
 from seqframe.llm.ngram_join import component_table
 from seqframe.llm.sharding import shard_table
 from seqframe.llm.substring_dedup import removal_table
@@ -54,13 +54,16 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 _MIX = rf"""
 WITH d AS (SELECT doc_id, source, coalesce('s' || source, 'n') AS src, len(regexp_extract_all(coalesce(text, ''), '{_WORDS}')) AS tok FROM documents),
 t AS (SELECT src, sum(tok)::BIGINT AS t_src FROM d GROUP BY src HAVING sum(tok) > 0),
-s AS (SELECT src, t_src, t_src / (SELECT sum(t_src) FROM t) AS share FROM t),
+s AS (SELECT src, t_src, t_src / (SELECT sum(t_src)::DOUBLE FROM t) AS share FROM t),
 g AS (SELECT k, k / {float(STEPS)} AS e FROM range({STEPS + 1}) r(k)),
-m AS (SELECT k, ln(sum(pow(share, e))) - e * sum(pow(share, e) * ln(share)) / sum(pow(share, e)) AS ent, ln(count(*)) AS most,
-             max(pow(share, e - 1)) / sum(pow(share, e)) AS rep FROM s, g GROUP BY k, e),
+y0 AS (SELECT k, e, sum(floor(pow(share, e) * {float(SCALE)})::BIGINT)::DOUBLE AS z, sum(floor(pow(share, e) * ln(share) * {float(SCALE)})::BIGINT)::DOUBLE AS a,
+             max(pow(share, e - 1)) AS top, ln(count(*)) AS most FROM s, g GROUP BY k, e),
+m AS (SELECT k, ln(z / {float(SCALE)}) - e * a / z AS ent, most, top / (z / {float(SCALE)}) AS rep FROM y0),
 k AS (SELECT coalesce(max(k) FILTER (most = 0 OR ent / most >= {ENTROPY} - 1e-9), 0) AS k_even, min(k) FILTER (rep <= {MAX_REPEATS} + 1e-9) AS k_spare FROM m),
-e AS (SELECT greatest(k_even, k_spare) / {float(STEPS)} AS e FROM k),
-b AS (SELECT src, t_src, floor((SELECT sum(t_src) FROM t)::DOUBLE * pow(share, e) / (SELECT sum(pow(share, e)) FROM s, e))::BIGINT AS b FROM s, e),
+e AS (SELECT greatest(k_even, k_spare) AS k FROM k),
+w AS (SELECT src, t_src, CASE WHEN k = {STEPS} THEN t_src ELSE greatest(1, floor(pow(share, k / {float(STEPS)}) * {float(SCALE)})::BIGINT) END::HUGEINT AS w FROM s, e),
+q AS (SELECT src, t_src, (SELECT sum(t_src) FROM t)::HUGEINT * w AS n, (SELECT sum(w) FROM w)::HUGEINT AS z FROM w),
+b AS (SELECT src, t_src, (n // z + (row_number() OVER (ORDER BY n % z DESC, src) <= (SELECT sum(t_src) FROM t) - sum(n // z) OVER ())::INT)::BIGINT AS b FROM q),
 p AS (SELECT src, t_src, b // t_src AS f, b % t_src AS rest FROM b),
 x AS (SELECT doc_id, source, tok, d.src, f, rest, unnest(range(f + 1)) AS block FROM d JOIN p ON d.src = p.src),
 y AS (SELECT *, md5('mix#' || block || '#' || coalesce(doc_id::VARCHAR, '')) AS h FROM x WHERE block < f OR rest > 0),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from seqframe.llm import queries as llm
 from seqframe.llm.exact_dedup import mark_duplicates
 from seqframe.llm.licenses import scan
-from seqframe.llm.mixing import mix
+from seqframe.llm.mixing import draw, mix, mix_table
 from seqframe.llm.sharding import assign_shards, shard_table
 
 SQL = "doc_id long, text string, lang string, source string, n_chars long"
@@ -79,10 +79,89 @@ def test_mixing_evens_sources_out(spark):
     assert kept.agg(F.max("count")).first()[0] == 1
 
 
+def plain_mix(rows, entropy, max_repeats, budget=None):
+    """(id, block) of every draw: the exponent tried one by one, budgets by largest remainder, blocks in seeded orders."""
+    from fractions import Fraction
+    from math import floor, log
+
+    from seqframe.llm.mixing import SCALE, STEPS
+
+    by = defaultdict(list)
+    for i, t, s in rows:
+        by["n" if s is None else f"s{s}"].append((i, len((t or "").split())))
+    tot = {s: sum(n for _, n in v) for s, v in by.items() if sum(n for _, n in v)}
+    total = sum(tot.values())
+    budget = total if budget is None else budget
+
+    def measures(k):
+        p = {s: (t / total) ** (k / STEPS) for s, t in tot.items()}
+        z = sum(p.values())
+        h = -sum(x / z * log(x / z) for x in p.values())
+        return (h / log(len(p)) if len(p) > 1 else 1.0), max(x / z * budget / tot[s] for s, x in p.items())
+
+    k = max((k for k in range(STEPS + 1) if measures(k)[0] >= entropy - 1e-9), default=0)
+    if measures(k)[1] > max_repeats + 1e-9:
+        k = min((j for j in range(k, STEPS + 1) if measures(j)[1] <= max_repeats + 1e-9), default=STEPS)
+    w = {s: t if k == STEPS else max(1, floor((t / total) ** (k / STEPS) * SCALE)) for s, t in tot.items()}
+    exact = {s: Fraction(budget * x, sum(w.values())) for s, x in w.items()}
+    b = {s: floor(x) for s, x in exact.items()}
+    for s in sorted(exact, key=lambda s: (b[s] - exact[s], s))[: budget - sum(b.values())]:
+        b[s] += 1
+    out = Counter()
+    for s in tot:
+        full, rest = divmod(b[s], tot[s])
+        for block in range(full + (rest > 0)):
+            upto = 0
+            for i, n in sorted(by[s], key=lambda x: (hashlib.md5(f"mix#{block}#{x[0]}".encode()).hexdigest(), str(x[0]))):
+                upto += n
+                if block < full or upto <= rest:
+                    out[i, block] += 1
+    return out
+
+
+def uneven(seed):
+    import random
+
+    rng = random.Random(seed)
+    rows, i = [], 0
+    for s, n in (("a", 90), ("b", 31), ("c", 7), (None, 12), ("empty", 2)):
+        for _ in range(n):
+            rows.append((i, "w " * (0 if s == "empty" else rng.randrange(0, 30)), s))
+            i += 1
+    return rows
+
+
+@pytest.mark.parametrize("entropy,repeats,budget", [(0.98, 4.0, None), (1.0, 4.0, None), (1.0, 1.7, None), (0.9, 4.0, 5000), (0.0, 4.0, None)])
+def test_mixing_against_a_plain_version(spark, entropy, repeats, budget):
+    rows = uneven(3)
+    want = plain_mix(rows, entropy, repeats, budget)
+    for n in (1, 7) if repeats < 2 else (3,):
+        got = mix(docs(spark, *rows).repartition(n), budget, entropy, repeats).collect()
+        assert Counter((r.doc_id, r.mix_block) for r in got) == want
+    drawn = draw(docs(spark, *rows).repartition(3), budget, entropy, repeats)
+    assert Counter(r.doc_id for r in drawn.collect()) == Counter(i for i, _ in want.elements())
+    if entropy == 0.0:
+        assert sum(want.values()) == sum(s != "empty" for _, _, s in rows)
+    else:
+        assert len({b for _, b in want}) > 1
+
+
+def test_mixing_does_not_depend_on_partitions(spark, data):
+    table = spark.read.parquet(f"{data}/documents.parquet")
+    got = {n: sorted((r.doc_id, r.mix_block, r.mix_rank) for r in mix_table(table.repartition(n)).collect()) for n in (1, 7)}
+    assert got[1] == got[7] and max(r[1] for r in got[1]) > 0
+    # an exponent of 1 draws every row of a source with tokens once
+    assert mix(table.repartition(5), entropy=0.0).count() == table.count()
+
+
 def test_mixing_of_odd_rows(spark):
     assert mix(docs(spark)).count() == 0 and mix(docs(spark, (1, None, None), (2, "", "a"))).count() == 0
     got = mix(docs(spark, *ODD).withColumn("mix_block", F.lit("clash")))
     assert set(got.columns) == {*[c.split()[0] for c in SQL.split(", ")], "mix_block", "mix_rank"} and got.count() > 0
+    # equal rows are drawn as often as there are; long texts, ties and null ids come with full blocks
+    every = Counter((r.doc_id, r.text) for r in mix(docs(spark, *ODD), entropy=0.0).collect())
+    assert every == Counter((i, t) for i, t, _ in ODD) == Counter((r.doc_id, r.text) for r in draw(docs(spark, *ODD).withColumn("cut", F.lit("clash")), entropy=0.0).collect())
+    assert draw(docs(spark)).count() == 0
 
 
 def test_licenses_of_odd_rows(spark):
