@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from seqframe.llm.chat import chat_table
+from seqframe.llm.conversations import repair_table
 from seqframe.llm.decontaminate import find_items
 from seqframe.llm.exact_dedup import mark_duplicates
 from seqframe.llm.html_extract import page_table
@@ -38,6 +39,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontamination": _over("documents", find_items, "benchmark"),
         "op9_substring_dedup": _over("documents", removal_table),
         "op10_html_extraction": _over("pages", page_table),
+        "op11_conversation_repair": _over("conversations", repair_table),
     }
 
 
