@@ -14,6 +14,7 @@ from seqframe.llm.html_extract import page_table
 from seqframe.llm.licenses import TEMPLATES, scan, template_rows
 from seqframe.llm.mixing import ENTROPY, MAX_REPEATS, SCALE, STEPS, mix_table
 from seqframe.llm.ngram_join import component_table
+from seqframe.llm.phrases import LEAST, MOST_WORDS, TOP, collocations
 from seqframe.llm.sharding import shard_table
 from seqframe.llm.substring_dedup import removal_table
 from seqframe.llm.toxicity import toxicity_table
@@ -39,6 +40,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontamination": _over("documents", find_items, "benchmark"),
         "op9_substring_dedup": _over("documents", removal_table),
         "op10_html_extraction": _over("pages", page_table),
+        "op12_phrase_collocations": _over("documents", collocations),
         "op11_conversation_repair": _over("conversations", repair_table),
     }
 
@@ -125,9 +127,27 @@ SELECT n.doc_id, any_value(n.n)::BIGINT AS n_shingles, min(other) AS component_i
 """
 
 
+_PHRASES = rf"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS ps FROM documents),
+p AS (SELECT lang, unnest(ps) AS p FROM t),
+w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM p),
+i AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+g AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS g FROM i, range(1, {MOST_WORDS + 1}) r(m) WHERE i + m - 1 <= len(w)),
+f AS (SELECT lang, m, g, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE m = 1 GROUP BY lang),
+c AS (SELECT lang, m, g, f AS a, string_split(g, ' ') AS w FROM f WHERE m > 1 AND f >= {LEAST}),
+k AS (SELECT c.*, unnest(range(1, m)) AS k FROM c),
+s AS (SELECT k.lang, k.g, k.a, k.k, x.f AS l, y.f AS r, n.n, ((1000::HUGEINT * k.a * n.n) // (x.f::HUGEINT * y.f))::BIGINT AS score
+      FROM k JOIN f x ON x.lang = k.lang AND x.g = array_to_string(k.w[1:k.k], ' ') JOIN f y ON y.lang = k.lang AND y.g = array_to_string(k.w[k.k + 1:], ' ') JOIN n ON n.lang = k.lang),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, g ORDER BY score, k) AS o FROM s) WHERE o = 1),
+q AS (SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.lang = b.lang AND c.g <> b.g AND 100 * c.a >= 100 * b.a AND contains(' ' || c.g || ' ', ' ' || b.g || ' ')))
+SELECT * FROM (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g) AS rank, g AS phrase, a, l, r, n, score FROM q) WHERE rank <= {TOP}
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Left to tests: toxicity, decontamination and HTML extraction, which SQL cannot express, and sharding, whose CRC-32 is too slow in SQL."""
     return {
         "op1_chat_format": _CHAT, "op2_source_mixing": _MIX, "op3_exact_dedup": _EXACT, "op4_ngram_join": _SIMILAR,
-        "op6_license_scan": _LICENSES, "op9_substring_dedup": _REPEATS,
+        "op6_license_scan": _LICENSES, "op9_substring_dedup": _REPEATS, "op12_phrase_collocations": _PHRASES,
     }

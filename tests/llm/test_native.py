@@ -22,7 +22,7 @@ def docs(spark, *rows):
 ODD = [(1, None, "a"), (2, "", None), (3, "x  y", "a"), (3, "x  y", "a"), (4, "x\ty", "b"), (None, "x y", "b"), (5, "z " * 30_000, "a"), (6, "z " * 30_000, None)]
 
 
-@pytest.mark.parametrize("name", ["op1_chat_format", "op2_source_mixing", "op3_exact_dedup", "op6_license_scan", "op9_substring_dedup", "op4_ngram_join"])
+@pytest.mark.parametrize("name", ["op1_chat_format", "op2_source_mixing", "op3_exact_dedup", "op6_license_scan", "op9_substring_dedup", "op4_ngram_join", "op12_phrase_collocations"])
 def test_query_equals_sql(spark, duck, data, name):
     got = llm.queries()[name](spark, data)
     rows = duck.execute(llm.oracle_sql()[name])
