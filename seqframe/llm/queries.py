@@ -10,6 +10,7 @@ from seqframe.llm.chat import chat_table
 from seqframe.llm.conversations import repair_table
 from seqframe.llm.decontaminate import find_items
 from seqframe.llm.exact_dedup import mark_duplicates
+from seqframe.llm.fingerprints import fingerprint_table
 from seqframe.llm.html_extract import page_table
 from seqframe.llm.licenses import TEMPLATES, scan, template_rows
 from seqframe.llm.mixing import ENTROPY, MAX_REPEATS, SCALE, STEPS, mix_table
@@ -40,8 +41,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontamination": _over("documents", find_items, "benchmark"),
         "op9_substring_dedup": _over("documents", removal_table),
         "op10_html_extraction": _over("pages", page_table),
-        "op12_phrase_collocations": _over("documents", collocations),
         "op11_conversation_repair": _over("conversations", repair_table),
+        "op12_phrase_collocations": _over("documents", collocations),
+        "op13_fingerprints": _over("documents", fingerprint_table),
     }
 
 
