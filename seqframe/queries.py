@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqframe.functions.sequence import acgt_reverse_complement, dna_of, protein, reverse_complement
-from seqframe.operators import align, cluster, graph, intervals, kmers, overlap, relational, repair, scans, stats
+from seqframe.operators import align, cluster, correct, graph, intervals, kmers, overlap, relational, repair, scans, stats
 
 K = 31
 PRIMERS_F, PRIMERS_R = ["ACGTCAT", "TTGCAAT"], ["GATTGCA", "CATTGCA"]
@@ -58,6 +58,15 @@ def items(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select(F.col("item_id").alias("id"), dna_of("text").alias("seq"))
 
 
+def corrected_items(spark: SparkSession, d: str) -> DataFrame:
+    """Benchmark items without every 51st base, corrected by the k-mers of documents and items between those that items begin and end with."""
+    whole = items(spark, d).where(F.length("seq") >= 21)
+    damaged = whole.select("id", F.regexp_replace("seq", "(.{50}).", "$1").alias("seq"))
+    begins, ends = whole.select(F.left("seq", F.lit(21)).alias("kmer")), whole.select(F.right("seq", F.lit(21)).alias("kmer"))
+    known = counts(spark, d, 21, 3).select("kmer").unionByName(kmers.count_kmers(whole, 21).select("kmer"))
+    return correct.correct(damaged, known, begins, ends, 21)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     seq = sequences
     return {
@@ -110,6 +119,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "unitigs": lambda s, d: graph.unitig_sequences(counts(s, d, lo=8)).select("head", F.col("n").cast("long").alias("n"), F.sha2("seq", 256).alias("seq")),
         "walk": lambda s, d: graph.walk(scans.start_mer(seq(s, d), 21).select(F.col("id").cast("string").alias("tag"), "kmer"), counts(s, d, 21, 8), 12, direction="B"),
         "repair": lambda s, d: repair.repair(seq(s, d), counts(s, d, 21, 3), 21, 40, 100).select("id", F.sha2("seq", 256).alias("seq"), "corrected"),
+        "kmer_correct": lambda s, d: corrected_items(s, d).select("id", "cost", "reason", F.sha2("seq", 256).alias("seq")),
         "unitig_layout": lambda s, d: overlap.layout(overlaps(s, d)),
         "align": lambda s, d: align.align(items(s, d), seq(s, d)),
         "best_hits": lambda s, d: align.best_hits(overlaps(s, d), 95.0).select("ref", "qry", "s1", "e1", "s2", "e2", "idy"),

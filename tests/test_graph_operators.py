@@ -33,7 +33,55 @@ def edit(a, b):
     return row[-1]
 
 
-def loop_repair(s, table, k, max_gap, max_paths):
+def end_free(a, b):
+    """(distance, prefix of a, prefix of b) over all pairs of prefixes of which one is whole, by the whole table."""
+    d = [[max(i, j) if 0 in (i, j) else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+    every = [(d[i][j], j - i, i, j) for i in range(len(a) + 1) for j in range(len(b) + 1) if i == len(a) or j == len(b)]
+    dist, _, i, j = min(every)
+    return (dist, i, j) if dist <= int(3.5 + 0.15 * min(len(a), len(b))) else None
+
+
+def loop_end(s, has, k, max_paths, found, side):
+    """The correction of one end: extensions away from the k-mer in the order A, C, G, T, then the best of them."""
+    if not found:
+        return []
+    at = found[0] if side == "L" else found[-1]
+    own = s[:at] if side == "L" else s[at + k :]
+    limit, paths = min(500, int(1.1 * len(own) + 10)), []
+    if not own:
+        return []
+
+    def search(kmer, path):
+        grown = False
+        for b in "ACGT" if len(path) < limit and len(paths) <= max_paths else "":
+            new = b + kmer[:-1] if side == "L" else kmer[1:] + b
+            if has(new):
+                grown = True
+                search(new, b + path if side == "L" else path + b)
+        if not grown and path:
+            paths.append(path)
+
+    search(s[at : at + k], "")
+    if not paths or len(paths) > max_paths:
+        return []
+    turn = (lambda x: x[::-1]) if side == "L" else (lambda x: x)
+    best = None
+    for p in paths:
+        hit = end_free(turn(own), turn(p))
+        if hit and (best is None or 2 * hit[0] / (hit[1] + hit[2]) < best[0]):
+            best = (2 * hit[0] / (hit[1] + hit[2]), *hit, p)
+    if best is None:
+        return []
+    rate, dist, i, j, p = best
+    if side == "L":
+        return [(at - i, at, p[len(p) - j :])] if j == len(p) and dist / j <= 0.12 else []
+    return [(at + k, at + k + i, p[:j])] if rate <= 0.12 else []
+
+
+def loop_repair(s, table, k, max_gap, max_paths, ends=True):
     """Depth-first search in the order A, C, G, T, gap by gap."""
     has = lambda w: min(w, rc(w)) in table
     found = [i for i in range(len(s) - k + 1) if has(s[i : i + k])]
@@ -67,6 +115,8 @@ def loop_repair(s, table, k, max_gap, max_paths):
             fixes.append((lo, lo, best[k : k + path - read]))
         else:
             fixes.append((lo, lo + read - path, ""))
+    if ends:
+        fixes = [*loop_end(s, has, k, max_paths, found, "L"), *fixes, *loop_end(s, has, k, max_paths, found, "R")]
     out, at = "", 0
     for lo, hi, new in fixes:
         out, at = out + s[at : max(at, lo)] + new, hi
@@ -86,12 +136,54 @@ def test_repair_against_a_loop(spark):
         rows.append((str(i), "".join(t)))
     rows += [("short", "ACG"), ("none", "A" * 30), ("empty", "")]
     counts = spark.createDataFrame([(w, 5) for w in sorted(table)], "kmer string, cnt long")
-    got = {r.id: (r.seq, r.corrected) for r in repair.repair(seqs(spark, *rows), counts, k, 20, 6).collect()}
-    want = {i: loop_repair(s, table, k, 20, 6) for i, s in rows if len(s) >= k}
+    got = {r.id: (r.seq, r.corrected) for r in repair.repair(seqs(spark, *rows), counts, k, 20, 6, ends=False).collect()}
+    want = {i: loop_repair(s, table, k, 20, 6, ends=False) for i, s in rows if len(s) >= k}
     assert {i: g[0] for i, g in got.items()} == want
     assert sum(c for _, c in got.values()) > 10 and all(c or want[i] == dict(rows)[i] for i, (_, c) in got.items())
 
 
+def test_ends_of_sequences_against_a_loop(spark):
+    rng = random.Random(11)
+    k, truth = 15, [dna(rng, 150) for _ in range(4)]
+    # forks near ends, so that an end has several extensions
+    truth += [truth[0][:140] + dna(rng, 10), dna(rng, 12) + truth[1][12:]]
+    table = {min(w, rc(w)) for t in truth for w in (t[i : i + k] for i in range(len(t) - k + 1))}
+    rows = []
+    for i in range(70):
+        t = rng.choice(truth)
+        t = list(t[: rng.choice([100, 150, 150])])
+        for at in (rng.randrange(5, 15), len(t) - rng.randrange(5, 15), rng.randrange(len(t))):
+            for _ in range(rng.choice([0, 1, 1])):
+                t[at : at + rng.randrange(0, 2)] = rng.choice(["", "A", "C", "N", "GT"])
+        rows.append((str(i), rng.choice(["", "", "", "ACG"]) + "".join(t)))
+    rows += [("none", "A" * 30), ("empty", ""), ("long", truth[0] + dna(rng, 3000))]
+    counts = spark.createDataFrame([(w, 5) for w in sorted(table)], "kmer string, cnt long")
+    got = {r.id: r.seq for r in repair.repair(seqs(spark, *rows), counts, k, 20, 1).collect()}
+    want = {n: {i: loop_repair(s, table, k, 20, n) for i, s in rows if len(s) >= k} for n in (1, 40)}
+    assert got == want[1] and want[1] != want[40]
+    got = {r.id: r.seq for r in repair.repair(seqs(spark, *rows), counts, k, 20, 40).collect()}
+    assert got == want[40]
+    gaps = {i: loop_repair(s, table, k, 20, 40, ends=False) for i, s in rows if len(s) >= k}
+    assert sum(got[i] != gaps[i] for i in got) > 20
+    left = [i for i, s in rows if i in got and loop_end(s, lambda w: min(w, rc(w)) in table, k, 40, [j for j in range(len(s) - k + 1) if min(s[j : j + k], rc(s[j : j + k])) in table], "L")]
+    assert len(left) > 5
+
+
+def test_end_free_distances_against_the_whole_table():
+    rng = random.Random(12)
+    pairs = []
+    for _ in range(400):
+        a = dna(rng, rng.randrange(0, 40))
+        b = list(a[: rng.randrange(0, 45)] + dna(rng, rng.randrange(0, 12)))
+        for _ in range(rng.randrange(0, 5)):
+            if b:
+                at = rng.randrange(len(b))
+                b[at : at + rng.randrange(0, 2)] = rng.choice(["", "A", "CG"])
+        pairs.append((a, "".join(b)))
+    assert repair.end_free(pairs) == [end_free(a, b) for a, b in pairs]
+    assert repair.end_free([]) == [] and repair.end_free([("", ""), ("A", "")]) == [(0, 0, 0), (0, 0, 0)]
+
+
 def loop_layout(rows):
     whole = lambda r: r["s1"] == 1 and r["e1"] == r["len_r"] and (r["len_r"] < r["len_q"] or r["ref"] < r["qry"])
     rows = [r for r in rows if r["e2"] >= r["s2"]]
