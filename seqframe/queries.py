@@ -47,7 +47,7 @@ def overlaps(spark: SparkSession, d: str) -> DataFrame:
     x = table(spark, d, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.max("l_quantity").alias("q"), F.max(F.col("l_linenumber")).alias("l"))
     cov = lambda c: F.least(F.lit(100.0), F.col(c) * 2.0 + 4)
     return x.select(
-        F.concat(F.lit("r"), F.col("l_partkey") % 997).alias("ref"), F.concat(F.lit("r"), F.col("l_suppkey") % 991).alias("qry"), F.lit(1).alias("s1"),
+        F.concat(F.lit("r"), F.col("l_partkey")).alias("ref"), F.concat(F.lit("r"), F.col("l_suppkey")).alias("qry"), F.lit(1).alias("s1"),
         F.col("q").cast("int").alias("e1"), F.when(F.col("l") > 3, 1).otherwise(2).alias("s2"), (F.col("q") + 10).cast("int").alias("e2"), F.lit(50).alias("len_r"),
         F.when(F.col("l") > 2, (F.col("q") + 10).cast("int")).otherwise(90).alias("len_q"), (90 + F.col("l") * 1.5).cast("double").alias("idy"),
         cov("q").alias("cov_r"), cov("q").alias("cov_q"), F.col("q").cast("int").alias("len1"), F.col("q").cast("int").alias("len2"),
@@ -145,7 +145,7 @@ f AS (SELECT *, {_FIRST(0, 'a', 'length(seq) - 2')} AS c0, {_FIRST(1, 'a', 'leng
 x2 AS (SELECT id, substr(seq, a, CASE WHEN c0 IS NULL OR c1 IS NULL OR c2 IS NULL THEN length(seq) ELSE greatest(c0, c1, c2) + 2 END - a + 1) AS seq FROM f)"""
 _POINTS = "e AS (SELECT user_id AS id, (epoch_us(ts) // 1000000) AS pos, event_type AS dir, floor(abs(value))::BIGINT AS prec FROM events)"
 _REGIONS = "g AS (SELECT user_id AS id, (epoch_us(ts) // 1000000) AS lo, (epoch_us(ts) // 1000000) + 600 + floor(abs(value))::BIGINT * 40 AS hi, event_type AS dir FROM events)"
-_O = """o AS (SELECT 'r' || (l_partkey % 997) AS ref, 'r' || (l_suppkey % 991) AS qry, 1 AS s1, q::INT AS e1, CASE WHEN l > 3 THEN 1 ELSE 2 END AS s2, (q + 10)::INT AS e2, 50 AS len_r,
+_O = """o AS (SELECT 'r' || l_partkey AS ref, 'r' || l_suppkey AS qry, 1 AS s1, q::INT AS e1, CASE WHEN l > 3 THEN 1 ELSE 2 END AS s2, (q + 10)::INT AS e2, 50 AS len_r,
   CASE WHEN l > 2 THEN (q + 10)::INT ELSE 90 END AS len_q, 90 + l * 1.5::DOUBLE AS idy, least(100.0::DOUBLE, q * 2 + 4) AS cov_r, least(100.0::DOUBLE, q * 2 + 4) AS cov_q
   FROM (SELECT l_partkey, l_suppkey, max(l_quantity) AS q, max(l_linenumber) AS l FROM lineitem GROUP BY ALL))"""
 _NEIGHBOURS = f"""n AS (SELECT id, pos, 'R' AS side, b AS base, left(kmer, {K - 1}) || b AS kmer FROM p{K}, (VALUES ('A'), ('C'), ('G'), ('T')) v(b) WHERE b <> right(kmer, 1)

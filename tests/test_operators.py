@@ -122,6 +122,65 @@ def test_fasta_round_trip(spark, tmp_path):
     assert [(r.id, r.desc, r.seq) for r in got] == [("a", "first >x", "ACGT" * 40), ("b", "", "AC")]
 
 
+def loop_linkage(ids, d, height, nearer):
+    """Merges the nearest pair of all until the height; a group is named by its least member."""
+    groups = {i: [i] for i in ids}
+    far = lambda a, b: max(d.get((min(x, y), max(x, y)), 9) for x in groups[a] for y in groups[b])
+    while True:
+        every = [(far(a, b), nearer[a, b], a, b) for a in groups for b in groups if a < b]
+        if not every or min(every)[0] > height:
+            return groups
+        _, _, a, b = min(every)
+        groups[a] += groups.pop(b)
+
+
+@pytest.mark.parametrize("places", [1, 3])
+def test_complete_linkage_against_a_loop(spark, places):
+    rng = random.Random(places)
+    ids = [f"n{i:02d}" for i in range(40)]
+    at = {i: (rng.random(), rng.random()) for i in ids}
+    d = {(a, b): round(((at[a][0] - at[b][0]) ** 2 + (at[a][1] - at[b][1]) ** 2) ** 0.5, places) for a in ids for b in ids if a < b}
+    d = {k: v for k, v in d.items() if rng.random() < 0.9 and v < 0.5}
+    pairs = spark.createDataFrame([(a, b) for a in ids for b in ids if a < b], "a string, b string")
+    nearer = {(r.a, r.b): r.h for r in pairs.select("a", "b", F.xxhash64("a", "b").alias("h")).collect()}
+    groups = loop_linkage(ids, d, 0.4, nearer)
+    rows = [(a, b, v) for (a, b), v in d.items()] + [(b, a, v) for (a, b), v in d.items()] + [(i, i, 0.0) for i in ids]
+    got = cluster.cluster(spark.createDataFrame(rows, "a string, b string, d double"), 0.4).collect()
+    apart = lambda a, b: 0.0 if a == b else d[min(a, b), max(a, b)]
+    want = []
+    for g in groups.values():
+        centre = min(g, key=lambda a: (sum(round(apart(a, b) * 10**9) for b in g), a))
+        want.append((centre, " ".join(sorted(g)), len(g)))
+    assert sorted(map(tuple, got)) == sorted(want) and max(w[2] for w in want) > 2
+
+
+def test_inclusions_against_closures(spark):
+    rng = random.Random(8)
+    rows = []
+    for g in range(60):
+        n = rng.randrange(1, 9)
+        names = [f"g{g}x{rng.randrange(100)}y{i}" for i in range(n)]
+        rows.append((names[0], names[0], 100.0))
+        rows += [(rng.choice(names), rng.choice(names), rng.choice([100.0, 100.0, 90.0])) for _ in range(rng.randrange(0, 2 * n))]
+    rows += [(f"chain{i:03d}", f"chain{i + 1:03d}", 99.0) for i in range(40)] + [("hub", f"spoke{i}", 99.0) for i in range(50)] + [(f"ring{i}", f"ring{(i + 1) % 17}", 99.0) for i in range(17)]
+    ids = {x for r in rows for x in r[:2]}
+    to = {i: {b for a, b, v in rows if a == i and v >= 95} for i in ids}
+
+    def reach(i):
+        seen, todo = set(), [i]
+        while todo:
+            new = to[todo.pop()] - seen
+            seen |= new
+            todo += new
+        return seen
+
+    far = {i: reach(i) for i in ids}
+    want = {a for a in ids if not any(b != a and (a not in far[b] or b < a) for b in far[a])}
+    x = spark.createDataFrame([(b, a, v, 100.0) for a, b, v in rows], "ref string, qry string, idy double, cov_q double")
+    got = [r.id for r in graph.remove_inclusions(x).collect()]
+    assert sorted(got) == sorted(want)
+
+
 def test_complete_linkage(spark):
     near = {("a", "b"): 0.01, ("b", "c"): 0.015, ("a", "c"): 0.03, ("d", "e"): 0.02}
     rows = [(a, b, d) for (a, b), d in near.items()] + [(b, a, d) for (a, b), d in near.items()] + [(x, x, 0.0) for x in "abcdef"]
