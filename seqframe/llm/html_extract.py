@@ -1,11 +1,12 @@
 """Main text of web pages by template deduction from equivalence classes.
 
 Each element of a page gives two tokens, its start and its end, told apart by the path of elements
-above. On a page, a path is valid when both tokens occur once, so that valid paths nest as the elements do;
+above. On a page, a path is valid when both tokens occur once (of articles, equally often), so that valid paths nest as the elements do;
 one odd page takes nothing from the others. What lies between the tokens are slots. Equal paths of a host's
 pages form a class; names (an id, a word of a class) that only one page of the host has are left out of the
 path first. Classes are ranked by sums over all pages of the host, and each page gives the text in the best
-ranked of its own valid paths, without the parts that pages put around an article.
+ranked of its own valid paths, without the parts that pages put around an article: elements that HTML has for them,
+and boxes whose whole name says so.
 """
 
 from __future__ import annotations
@@ -39,6 +40,10 @@ AROUND_NAMES = set(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer header masthead "
     "menu modal nav navbar navigation newsletter notice pagination popup promo promoted related share sharing sidebar social sponsor sponsored subscribe widget".split()
 )
+#: Elements whose names can put them around an article. Headings, paragraphs, cells and words of an article cannot.
+BOXES = {"div", "section", "ul", "ol", "dl", "span", "figure", "details", "center"}
+#: Words that a name may have beside one of AROUND_NAMES: comment-list and ad-box are around, social-history and post-header are not.
+BESIDE = set("area bar block box bottom button buttons container form inner item items left link links list outer panel right section site slot top unit wrap wrapper".split())
 MAIN = {"article": 3, "main": 2}
 MAIN_NAMES = {"article", "articlebody", "content", "entry", "main", "maincontent", "post", "story"}
 _MARK = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -89,15 +94,18 @@ class Page:
         self._pop(0, stack)
 
     def _open(self, tag: str, attributes: str, stack: list) -> None:
-        names, sign = set(), tag
+        names, sign, box = set(), tag, False
         for kind, a, b, c in _NAMED.findall(attributes):
             value = (a or b or c).lower()
-            names |= {x for x in _PART.split(value) if x}
+            for name in value.split():
+                parts = {x for x in _PART.split(name) if x}
+                names |= parts
+                box = box or bool(parts & AROUND_NAMES) and parts <= AROUND_NAMES | BESIDE
             if kind.lower() in ("class", "id"):
                 sign += "".join(f"{NAME}.{x}" for x in value.split()) if kind.lower() == "class" else f"{NAME}#{'_'.join(value.split())}"
         path = f"{stack[-1][1]}{STEP}{sign}" if stack else sign
         inside = any(s[0] in MAIN for s in stack)
-        around = tag in AROUND and not (tag == "header" and inside) or (tag not in ("html", "body", "article", "main") and bool(names & AROUND_NAMES))
+        around = tag in AROUND and not (tag == "header" and inside) or tag in BOXES and box
         self.opened[path] += 1
         self.level[path] = MAIN.get(tag, 2 if "main" in names and "role" in attributes else 1 if names & MAIN_NAMES else 0)
         stack.append((tag, path, around or bool(stack and stack[-1][2]), tag == "a" or bool(stack and stack[-1][3])))
@@ -133,11 +141,12 @@ class Page:
         return {k: (a, b) for k, (a, b) in out.items()}
 
     def valid(self) -> dict[str, tuple[int, int]]:
-        """Level and characters, less two for each in links, of the paths with text whose start and end occur once."""
-        return {p: (self.level[p], a - 2 * b) for p, (a, b) in self.mass().items() if a and self.opened[p] == self.closed.get(p) == 1}
+        """Level and characters, less two for each in links, of the paths with text whose start and end occur once; articles may be several."""
+        whole = lambda p: self.opened[p] == self.closed.get(p) and (self.opened[p] == 1 or self.level[p] == MAIN["article"])
+        return {p: (self.level[p], a - 2 * b) for p, (a, b) in self.mass().items() if a and whole(p)}
 
     def text(self, slot: str | None) -> str:
-        """The blocks in the slot; without one, in the whole page."""
+        """The blocks in the slot, or in all slots of that path; without one, in the whole page."""
         blocks: dict[int, list[str]] = {}
         for text, path, block, _ in self.runs:
             if path and path[-1][1] or slot is not None and all(p != slot for p, _ in path):

@@ -2,7 +2,6 @@ import hashlib
 import random
 import re
 from collections import Counter
-from itertools import islice
 
 import numpy as np
 import pytest
@@ -23,11 +22,12 @@ def chains(text, common):
     """Signatures as tuples of words."""
     w = words(text)
     out = {("", *w[: fp.CHAIN])} if w else set()
-    for i, x in enumerate(w):
+    rest: tuple = ()
+    for x in reversed(w):
         if x in common:
-            rest = list(islice((w[j] for j in range(i, len(w)) if w[j] not in common), fp.CHAIN))
-            if len(rest) == fp.CHAIN:
-                out.add((x, *rest))
+            out |= {(x, *rest)} if len(rest) == fp.CHAIN else set()
+        else:
+            rest = (x, *rest)[: fp.CHAIN]
     return out
 
 

@@ -320,7 +320,7 @@ def test_odd_pages_leave_the_host_its_slot(spark):
     rows = [(i, "http://a.example/x", page.format(i=i)) for i in range(20)]
     rows += [(50, "http://a.example/l", page.format(i=50).replace("<div>more", "<article><p>Second</p></article><div>more")), (51, "http://a.example/u", page.format(i=51).replace("</article>", ""))]
     got = page_texts(spark, rows)
-    assert all(got[i] == f"Text {i}" for i in range(20)) and got[50] == "notice\nText 50\nSecond\nmore" and "Text 51" in got[51]
+    assert all(got[i] == f"Text {i}" for i in range(20)) and got[50] == "Text 50\nSecond" and "Text 51" in got[51]
 
 
 def test_every_page_has_its_own_id_or_layout(spark):
@@ -332,3 +332,21 @@ def test_every_page_has_its_own_id_or_layout(spark):
     rows += [(200 + i, "http://c.example/x", links.format(i=200 + i)) for i in range(40)]
     got = page_texts(spark, rows)
     assert got == {r[0]: f"Text {r[0]}" for r in rows}
+
+
+def test_names_inside_an_article_take_no_text(spark):
+    inner = [
+        '<div class="post-header"><h1>Title</h1></div>', '<section class="social-history"><p>Social</p></section>', '<p class="related">Related</p>', '<h2 id="comments-on-kant">Comments on Kant</h2>',
+        '<div class="menu-of-the-day">Menu</div>', '<p id="notice">Notice</p>', '<table class="share prices"><tr><td>x</td></tr></table>', '<div class="comments">gone</div>', '<div id="ad-box">gone</div>',
+        '<ul class="share-buttons"><li>gone</ul>', "<nav>gone</nav>",
+    ]
+    rows = [(i, "http://a.example/x", f"<body><div>top</div><article><p>One {i}</p>{''.join(inner)}<p>Two.</p></article></body>") for i in range(7)]
+    got = page_texts(spark, rows)
+    assert got[3] == "One 3\nTitle\nSocial\nRelated\nComments on Kant\nMenu\nNotice\nx\nTwo."
+
+
+def test_very_long_and_repeated_pages(spark):
+    text = "word " * 300_000
+    rows = [(1, "http://a.example/", f"<body><nav>n</nav><article><p>{text}</p></article></body>")] * 2 + [(2, "http://a.example/", "<body><nav>n</nav><article><p>b</p></article></body>")] * 3
+    got = html_extract.page_table(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted((r.page_id, r.n_chars) for r in got) == [(1, len(text) - 1)] * 2 + [(2, 1)] * 3
