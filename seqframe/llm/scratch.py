@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -58,6 +59,18 @@ def dropped(*tables: DataFrame) -> None:
                 path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def row_place(df: DataFrame) -> Column | None:
+    """Where a row lies in its file, as a key that every scan gives again; None unless ``df`` is a plain scan of Parquet files."""
+    if "_metadata" in (c.lower() for c in df.columns):
+        return None
+    place = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    try:
+        df.select(place)
+    except AnalysisException:
+        return None
+    return place
+
+
 def buckets_for(rows: int) -> int:
     """Ranges of a uniform hash such that each holds some thousand rows, whatever the total is."""
     return int(min(MOST_BUCKETS, max(64, -(-rows // ROWS_A_BUCKET))))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqframe.llm.scratch import buckets_for, range_of, running, uniform, written
+from seqframe.llm.scratch import buckets_for, range_of, row_place, running, uniform, written
 
 LAW = "rows"
 
@@ -23,19 +23,21 @@ def assign_shards(docs: DataFrame, shards: int = 40, seed: str = "shard", id_col
     a null id hash by row. Rows that agree in id and source are interchangeable; equal texts are rows like
     others, and nothing keeps them together. With fewer rows than shards, some shards stay empty; an empty
     table gives an empty result. Only row numbers are ranked; whole rows are shuffled once, to meet their
-    places.
+    places. Rows of a plain Parquet scan are known by their place in the files, others are written once to be known.
     """
     if shards < 1:
         raise ValueError("shards must be at least 1")
     keep = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
+    place = row_place(docs)
     kept = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"),
         F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("n")).alias("src"),
-        F.col(id_col).cast("string").alias("id"), F.monotonically_increasing_id().alias("rid"),
+        F.col(id_col).cast("string").alias("id"), (F.monotonically_increasing_id() if place is None else place).alias("rid"),
     )
-    kept = written(kept, "rows")
+    if place is None:
+        kept = written(kept, "rows")
     rows = kept.select("rid", "src", uniform(seed, F.coalesce("id", F.concat(F.lit("row "), F.col("rid").cast("string")))).alias("h"), "id", F.lit(1).cast("long").alias("one"))
-    total = kept.count()
+    total = docs.count()
     n = buckets_for(total)
     sizes = rows.groupBy("src").agg(F.count("*").alias("n_src")).withColumnRenamed("src", "src_of")
     rows = rows.withColumn("b", range_of(F.col("h"), n))

@@ -68,6 +68,12 @@ def test_shards_of_odd_rows(spark):
     assert assign_shards(docs(spark)).count() == 0
 
 
+def test_shards_of_a_scan_and_of_other_tables_agree(spark, data):
+    table = spark.read.parquet(f"{data}/documents.parquet")
+    scan, other = (sorted((r.doc_id, r.text, r.shard, r.slot) for r in assign_shards(x, 7).collect()) for x in (table, table.where("doc_id >= 0")))
+    assert scan == other and len(scan) == table.count()
+
+
 def test_mixing_evens_sources_out(spark):
     rows = [(i, "w " * 10, "big") for i in range(300)] + [(1000 + i, "w " * 10, "small") for i in range(60)] + [(2000 + i, "w " * 10, None) for i in range(60)]
     got = mix(docs(spark, *rows), entropy=0.999).groupBy("source").count().collect()
