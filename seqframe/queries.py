@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqframe.functions.sequence import acgt_reverse_complement, dna_of, protein, reverse_complement
-from seqframe.operators import align, cluster, correct, graph, intervals, kmers, overlap, relational, repair, scans, stats
+from seqframe.operators import align, cluster, correct, graph, intervals, kmers, overlap, relational, repair, scans, stats, walks
 
 K = 31
 PRIMERS_F, PRIMERS_R = ["ACGTCAT", "TTGCAAT"], ["GATTGCA", "CATTGCA"]
@@ -67,6 +67,12 @@ def corrected_items(spark: SparkSession, d: str) -> DataFrame:
     return correct.correct(damaged, known, begins, ends, 21)
 
 
+def shared_walks(spark: SparkSession, d: str) -> DataFrame:
+    """Walks both ways from the first start k-mer of every document, in the order of documents."""
+    starts = scans.start_mer(sequences(spark, d), 21).select(F.col("id").alias("ord"), F.col("id").cast("string").alias("tag"), "kmer", F.lit("B").alias("dir"))
+    return walks.walk(starts, counts(spark, d, 21, 3), 21, 1500)[0]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     seq = sequences
     return {
@@ -117,7 +123,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "primer_pairs": lambda s, d: relational.primer_pairs(seq(s, d), PRIMERS_F, PRIMERS_R).groupBy("id", "lo_primer", "hi_primer").agg(F.count("*").alias("n"), F.min("len").alias("shortest"), F.max("len").alias("longest")),
         "edit_distance": lambda s, d: table(s, d, "part").select("p_partkey", F.levenshtein("p_name", "p_type", 12).alias("d")),
         "unitigs": lambda s, d: graph.unitig_sequences(counts(s, d, lo=8)).select("head", F.col("n").cast("long").alias("n"), F.sha2("seq", 256).alias("seq")),
-        "walk": lambda s, d: graph.walk(scans.start_mer(seq(s, d), 21).select(F.col("id").cast("string").alias("tag"), "kmer"), counts(s, d, 21, 8), 12, direction="B"),
+        "walk": lambda s, d: shared_walks(s, d).select("ord", "dir", "variant", "reason", "freq", F.length("seq").alias("len"), F.sha2("seq", 256).alias("seq")),
         "repair": lambda s, d: repair.repair(seq(s, d), counts(s, d, 21, 3), 21, 40, 100).select("id", F.sha2("seq", 256).alias("seq"), "corrected"),
         "kmer_correct": lambda s, d: corrected_items(s, d).select("id", "cost", "reason", F.sha2("seq", 256).alias("seq")),
         "unitig_layout": lambda s, d: overlap.layout(overlaps(s, d)),
