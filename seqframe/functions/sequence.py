@@ -128,6 +128,30 @@ def true_false(c: Column | str) -> Column:
     return F.when(_col(c), "true").otherwise("false")
 
 
+def true_letter(c: Column | str) -> Column:
+    return F.when(_col(c), "T").otherwise("F")
+
+
+def or_none(c: Column | str) -> Column:
+    """The value as text, ``none`` for a null."""
+    return F.coalesce(_col(c).cast("string"), F.lit("none"))
+
+
+def smaller(a: Column | str, b: Column | str) -> Column:
+    """The smaller of two values; of a null and a value the value."""
+    return F.least(_col(a), _col(b))
+
+
+def larger(a: Column | str, b: Column | str) -> Column:
+    """The larger of two values; of a null and a value the value."""
+    return F.greatest(_col(a), _col(b))
+
+
+def about_normal(seed: int) -> Column:
+    """Random numbers of mean 0 and variance 1 between -6 and 6: twelve even ones between 0 and 1, less 6."""
+    return sum((F.rand(seed + i) for i in range(12)), F.lit(-6.0))
+
+
 def stripped(c: Column | str, end: str) -> Column:
     """Without one character at the end, where it is ``end``."""
     c = _col(c)

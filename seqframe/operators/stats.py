@@ -114,19 +114,44 @@ def pearson(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     return df.groupBy(*by).agg(F.corr(x, y).alias("r"))
 
 
+def best_key(df: DataFrame, by: list[str], key: str, value: str, largest: bool = True, seed: int | None = None) -> DataFrame:
+    """The key of the largest (or least) value of each group, and that value.
+
+    Of equals the smallest key, or with a ``seed`` any of them, by a hash: the same one each time.
+    """
+    turn = -F.col(value) if largest else F.col(value)
+    tie = F.struct(key) if seed is None else F.struct(F.xxhash64(F.lit(seed), key).alias("h"), key)
+    return df.groupBy(*by).agg(F.min_by(key, F.struct(turn, tie)).alias(key), (F.max if largest else F.min)(value).alias(value))
+
+
 def argmax_key(df: DataFrame, by: list[str], key: str, value: str) -> DataFrame:
     """The key of the largest value, the smallest key of equals, and that value."""
-    return df.groupBy(*by).agg(F.min_by(key, F.struct(-F.col(value), F.col(key))).alias(key), F.max(value).alias(value))
+    return best_key(df, by, key, value)
 
 
-def tied_keys(df: DataFrame, by: list[str], key: str, value: str) -> DataFrame:
-    """All keys of the largest value, sorted."""
-    sums = df.groupBy(*by).agg(F.max(value).alias("top")).withColumnsRenamed({b: f"of_{b}" for b in by})
+def tied_keys(df: DataFrame, by: list[str], key: str, value: str, largest: bool = True) -> DataFrame:
+    """All keys of the largest (or least) value, sorted."""
+    sums = df.groupBy(*by).agg((F.max if largest else F.min)(value).alias("top")).withColumnsRenamed({b: f"of_{b}" for b in by})
     on = F.lit(True)
     for b in by:
         on = on & (F.col(b) == F.col(f"of_{b}"))
     return df.join(sums, on & (F.col(value) == F.col("top"))).groupBy(*by).agg(F.array_sort(F.collect_set(key)).alias("keys"))
 
 
+def tied_places(values: Column | str, largest: bool = True) -> Column:
+    """The places (from 0) of the largest (or least) elements of an array, in order; null for an empty array."""
+    values = F.col(values) if isinstance(values, str) else values
+    best = F.array_max(values) if largest else F.array_min(values)
+    places = F.filter(F.transform(values, lambda x, i: F.when(x == best, i)), lambda i: i.isNotNull())
+    return F.when(F.size(values) > 0, places)
+
+
+def best_place(values: Column | str, largest: bool = True, seed: int | None = None) -> Column:
+    """The place (from 0) of the largest (or least) element of an array: the first of equals, or with a ``seed`` any, by a hash of the array."""
+    places = tied_places(values, largest)
+    which = F.lit(1) if seed is None else (F.pmod(F.xxhash64(F.lit(seed), values), F.size(places)) + 1).cast("int")
+    return F.try_element_at(places, which)
+
+
 def all_any(df: DataFrame, by: list[str], condition: Column) -> DataFrame:
     return df.groupBy(*by).agg(F.bool_and(condition).alias("all"), F.bool_or(condition).alias("any"))

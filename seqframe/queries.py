@@ -67,6 +67,14 @@ def corrected_items(spark: SparkSession, d: str) -> DataFrame:
     return correct.correct(damaged, known, begins, ends, 21)
 
 
+def best_places(spark: SparkSession, d: str) -> DataFrame:
+    """Where in an order its largest and smallest quantities stand."""
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_quantity"))), lambda x: x["l_quantity"])
+    x = table(spark, d, "lineitem").groupBy("l_orderkey").agg(lines.alias("q"))
+    return x.select("l_orderkey", stats.best_place("q", largest=False).alias("least"), stats.best_place("q").alias("most"),
+                    F.array_join(stats.tied_places("q"), ",").alias("all_most"))
+
+
 def shared_walks(spark: SparkSession, d: str) -> DataFrame:
     """Walks both ways from the first start k-mer of every document, in the order of documents."""
     starts = scans.start_mer(sequences(spark, d), 21).select(F.col("id").alias("ord"), F.col("id").cast("string").alias("tag"), "kmer", F.lit("B").alias("dir"))
@@ -111,6 +119,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "least_squares": lambda s, d: stats.least_squares(table(s, d, "lineitem"), "l_tax", "l_quantity", ["l_returnflag"]),
         "pearson": lambda s, d: stats.pearson(table(s, d, "lineitem"), "l_quantity", "l_discount", ["l_returnflag"]),
         "argmax_key": lambda s, d: stats.argmax_key(table(s, d, "lineitem"), ["l_suppkey"], "l_orderkey", "l_quantity"),
+        "argmin_key": lambda s, d: stats.best_key(table(s, d, "lineitem"), ["l_suppkey"], "l_orderkey", "l_quantity", largest=False),
+        "tied_least_keys": lambda s, d: stats.tied_keys(table(s, d, "lineitem"), ["l_suppkey"], "l_orderkey", "l_quantity", largest=False).select("l_suppkey", F.array_join("keys", ",").alias("keys")),
+        "best_places": lambda s, d: best_places(s, d),
         "tied_keys": lambda s, d: stats.tied_keys(table(s, d, "lineitem"), ["l_suppkey"], "l_orderkey", "l_quantity").select("l_suppkey", F.array_join("keys", ",").alias("keys")),
         "all_any": lambda s, d: stats.all_any(table(s, d, "lineitem"), ["l_suppkey"], F.col("l_discount") > 0.02),
         "classify_ends": lambda s, d: relational.classify_ends(seq(s, d), STARTS, ENDS),
@@ -224,6 +235,11 @@ def oracle_sql() -> dict[str, str]:
         "least_squares": "SELECT l_returnflag, regr_slope(l_tax, l_quantity) AS slope, regr_intercept(l_tax, l_quantity) AS intercept FROM lineitem GROUP BY 1",
         "pearson": "SELECT l_returnflag, corr(l_quantity, l_discount) AS r FROM lineitem GROUP BY 1",
         "argmax_key": "SELECT l_suppkey, l_orderkey, l_quantity FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_quantity DESC, l_orderkey) AS k FROM lineitem) WHERE k = 1",
+        "argmin_key": "SELECT l_suppkey, l_orderkey, l_quantity FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_quantity, l_orderkey) AS k FROM lineitem) WHERE k = 1",
+        "tied_least_keys": "SELECT l_suppkey, string_agg(k::VARCHAR, ',' ORDER BY k) AS keys FROM (SELECT DISTINCT l_suppkey, l_orderkey AS k FROM (SELECT *, rank() OVER (PARTITION BY l_suppkey ORDER BY l_quantity) AS r FROM lineitem) WHERE r = 1) GROUP BY 1",
+        "best_places": """WITH q AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity) - 1 AS i, l_quantity AS v,
+              min(l_quantity) OVER (PARTITION BY l_orderkey) AS lo, max(l_quantity) OVER (PARTITION BY l_orderkey) AS hi FROM lineitem)
+            SELECT l_orderkey, (min(i) FILTER (v = lo))::INT AS least, (min(i) FILTER (v = hi))::INT AS most, string_agg(i::VARCHAR, ',' ORDER BY i) FILTER (v = hi) AS all_most FROM q GROUP BY 1""",
         "tied_keys": "SELECT l_suppkey, string_agg(k::VARCHAR, ',' ORDER BY k) AS keys FROM (SELECT DISTINCT l_suppkey, l_orderkey AS k FROM (SELECT *, rank() OVER (PARTITION BY l_suppkey ORDER BY l_quantity DESC) AS r FROM lineitem) WHERE r = 1) GROUP BY 1",
         "all_any": 'SELECT l_suppkey, bool_and(l_discount > 0.02) AS "all", bool_or(l_discount > 0.02) AS "any" FROM lineitem GROUP BY 1',
         "classify_ends": f"WITH {_S} SELECT id, length(seq)::INT AS len, {' OR '.join(f'''prefix(seq, '{x}')''' for x in STARTS)} AS has_start, {' OR '.join(f'''suffix(seq, '{x}')''' for x in ENDS)} AS has_end FROM s",

@@ -46,10 +46,16 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def write_fasta(df: DataFrame, path: str, width: int = 60) -> None:
-    """Records as text, the sequence in lines of ``width``."""
-    head = F.concat(F.lit(">"), F.col("id"), F.when(F.coalesce("desc", F.lit("")) != "", F.concat(F.lit(" "), "desc")).otherwise("") if "desc" in df.columns else F.lit(""))
-    df.select(F.concat(head, F.lit("\n"), fasta_lines("seq", width)).alias("value")).write.text(path)
+def write_fasta(df: DataFrame, path: str, width: int = 60, first: int | None = None, skip: str = "") -> None:
+    """Records as text, the sequence in lines of ``width``: its first ``first`` characters only, and none that ``skip`` has.
+
+    A record with a null id has no header line.
+    """
+    desc = F.when(F.coalesce("desc", F.lit("")) != "", F.concat(F.lit(" "), "desc")).otherwise("") if "desc" in df.columns else F.lit("")
+    head = F.coalesce(F.concat(F.lit(">"), F.col("id").cast("string"), desc, F.lit("\n")), F.lit(""))
+    seq = F.translate("seq", skip, "") if skip else F.col("seq")
+    seq = seq if first is None else F.left(seq, F.lit(first))
+    df.select(F.concat(head, fasta_lines(seq, width)).alias("value")).write.text(path)
 
 
 def read_counts(spark: SparkSession, path: str, limit: int = 16383) -> DataFrame:

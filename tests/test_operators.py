@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from seqframe.functions import sequence as fn
 from seqframe.functions.sequence import canonical, is_stop, reverse_complement, translate_codon
 from seqframe.operators import cluster, graph, intervals, kmers, relational, scans, stats
 from seqframe.sources import tables
@@ -186,3 +187,36 @@ def test_complete_linkage(spark):
     rows = [(a, b, d) for (a, b), d in near.items()] + [(b, a, d) for (a, b), d in near.items()] + [(x, x, 0.0) for x in "abcdef"]
     got = cluster.cluster(spark.createDataFrame(rows, "a string, b string, d double")).collect()
     assert sorted((r.members, r.centroid) for r in got) == [("a b", "a"), ("c", "c"), ("d e", "d"), ("f", "f")]
+
+
+def test_places_and_keys_of_extremes(spark):
+    rows = [(1, [3.0, 1.0, 3.0, 1.0]), (2, [5.0]), (3, []), (4, None)]
+    x = spark.createDataFrame(rows, "g int, q array<double>")
+    got = {r.g: tuple(r)[1:] for r in x.select("g", stats.best_place("q", False), stats.best_place("q"), stats.tied_places("q", False), stats.best_place("q", seed=4)).collect()}
+    assert got[1][:3] == (1, 0, [1, 3]) and got[1][3] in (0, 2) and got[2] == (0, 0, [0], 0) and got[3] == (None,) * 4 == got[4]
+    seen = {r[0] for r in spark.range(60).select(stats.best_place(F.array(F.lit(7), F.lit(7), F.col("id") * 0 - F.col("id")), seed=1)).collect()}
+    assert seen == {0, 1}
+    keys = spark.createDataFrame([(1, k, v) for k, v in enumerate([4, 2, 4, 2, 3])], "g int, k int, v int")
+    assert tuple(stats.best_key(keys, ["g"], "k", "v", largest=False).first()) == (1, 1, 2)
+    assert stats.best_key(keys, ["g"], "k", "v", seed=3).first().k in (0, 2)
+    assert stats.tied_keys(keys, ["g"], "k", "v", largest=False).first()["keys"] == [1, 3]
+
+
+def test_small_functions(spark):
+    x = spark.createDataFrame([(True, None, 3), (False, 2, 5)], "b boolean, x int, y int")
+    got = x.select(fn.true_letter("b"), fn.or_none("x"), fn.smaller("x", "y"), fn.larger("x", "y")).collect()
+    assert [tuple(r) for r in got] == [("T", "none", 3, 3), ("F", "2", 2, 5)]
+    n = spark.range(20_000).select(fn.about_normal(5).alias("z")).agg(F.avg("z").alias("m"), F.var_pop("z").alias("v"), F.max(F.abs("z")).alias("top")).first()
+    assert abs(n.m) < 0.05 and abs(n.v - 1) < 0.05 and n.top <= 6
+
+
+def test_first_characters_and_skipped_ones_are_written(spark, tmp_path):
+    x = spark.createDataFrame([("a", "AC-GT--ACGT"), (None, "GGG")], "id string, seq string").coalesce(1)
+    tables.write_fasta(x, str(tmp_path / "f"), 3, first=5, skip="-")
+    text = "".join(p.read_text() for p in (tmp_path / "f").glob("part-*"))
+    assert text == ">a\nACG\nTA\nGGG\n"
+
+
+def test_stop_fraction_limit(spark):
+    x = seqs(spark, ("stops", "TAATTA" * 3), ("free", "GCCGCCGCC"))
+    assert {r.id for r in scans.best_frame(x).collect()} == {"stops", "free"} and [r.id for r in scans.best_frame(x, 0.1).collect()] == ["free"]
