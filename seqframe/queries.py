@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqframe.functions.sequence import acgt_reverse_complement, dna_of, protein, reverse_complement
-from seqframe.operators import align, cluster, correct, graph, intervals, kmers, overlap, relational, repair, scans, stats, walks
+from seqframe.operators import align, cluster, correct, gapped, graph, intervals, kmers, overlap, relational, repair, scans, stats, walks
 
 K = 31
 PRIMERS_F, PRIMERS_R = ["ACGTCAT", "TTGCAAT"], ["GATTGCA", "CATTGCA"]
@@ -139,6 +139,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "kmer_correct": lambda s, d: corrected_items(s, d).select("id", "cost", "reason", F.sha2("seq", 256).alias("seq")),
         "unitig_layout": lambda s, d: overlap.layout(overlaps(s, d)),
         "align": lambda s, d: align.align(items(s, d), seq(s, d)),
+        "align_gapped": lambda s, d: gapped.align_gapped(items(s, d), seq(s, d)),
+        "align_translated": lambda s, d: gapped.align_translated(items(s, d), seq(s, d), seed=9),
         "best_hits": lambda s, d: align.best_hits(overlaps(s, d), 95.0).select("ref", "qry", "s1", "e1", "s2", "e2", "idy"),
         "alignment_regions": lambda s, d: intervals.region_of(overlaps(s, d)),
         "alignment_ends": lambda s, d: intervals.endpoint_of(overlaps(s, d)),
