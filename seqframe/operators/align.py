@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import bisect
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -52,3 +55,42 @@ def best_hits(rows: DataFrame, least_identity: float = 0.0) -> DataFrame:
     other = x.select(F.col("qry").alias("q"), F.col("lo").alias("l"), F.col("hi").alias("h"), F.col("key").alias("k"))
     beaten = (F.col("qry") == F.col("q")) & (F.col("l") <= F.col("lo")) & (F.col("h") >= F.col("hi")) & (F.col("k") < F.col("key"))
     return x.join(other, beaten, "left_anti").drop("lo", "hi", "worth", "key")
+
+
+def heaviest(intervals: list[tuple[int, int, int]]) -> list[int]:
+    """Places of intervals (lo, hi, weight) that do not overlap and weigh most together; intervals in the order of hi.
+
+    best[i] is the most that the first i can weigh. Of equals an interval is left out rather than taken, from the last on.
+    """
+    his = [hi for _, hi, _ in intervals]
+    best = [0]
+    for lo, _, weight in intervals:
+        # an interval goes on from the most that intervals before it weigh
+        best.append(max(best[-1], weight + best[bisect.bisect_left(his, lo)]))
+    out, i = [], len(intervals)
+    while i:
+        if best[i] == best[i - 1]:
+            i -= 1
+        else:
+            out.append(i - 1)
+            i = bisect.bisect_left(his, intervals[i - 1][0])
+    return out[::-1]
+
+
+def best_chain(rows: DataFrame, least_identity: float = 0.0) -> DataFrame:
+    """Of each query's alignments those that cover no place of it twice and together have the largest sum of length times identity.
+
+    Identities count in thousandths. Alignments that overlap, if only by way of others, form an island, which
+    is solved in one task; islands of one query are solved apart. Ties: see heaviest(); rows of one end are taken by
+    start, ref, s1, e1, s2. All columns come back; a negative or null identity weighs nothing and is left out.
+    """
+    x = rows.where(F.col("idy") >= least_identity).withColumns({"lo": F.least("s2", "e2"), "hi": F.greatest("s2", "e2"), "worth": F.col("len2").cast("long") * F.round(F.col("idy") * 1000).cast("long")})
+    w = Window.partitionBy("qry").orderBy("lo", "hi", "ref", "s1", "e1", "s2")
+    new = F.coalesce(F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1)) < F.col("lo"), F.lit(True))
+    x = x.withColumn("new", new.cast("int")).withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("new")
+
+    def solve(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["hi", "lo", "ref", "s1", "e1", "s2"], kind="stable")
+        return group.iloc[heaviest(list(zip(group["lo"].tolist(), group["hi"].tolist(), group["worth"].tolist(), strict=True)))]
+
+    return x.groupBy("qry", "island").applyInPandas(solve, x.schema).drop("lo", "hi", "worth", "island")

@@ -139,6 +139,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "kmer_correct": lambda s, d: corrected_items(s, d).select("id", "cost", "reason", F.sha2("seq", 256).alias("seq")),
         "unitig_layout": lambda s, d: overlap.layout(overlaps(s, d)),
         "align": lambda s, d: align.align(items(s, d), seq(s, d)),
+        "best_chain": lambda s, d: align.best_chain(overlaps(s, d)).groupBy("qry").agg(F.sum(F.col("len2") * F.round(F.col("idy") * 1000).cast("long")).alias("worth")),
         "align_gapped": lambda s, d: gapped.align_gapped(items(s, d), seq(s, d)),
         "align_translated": lambda s, d: gapped.align_translated(items(s, d), seq(s, d), seed=9),
         "best_hits": lambda s, d: align.best_hits(overlaps(s, d), 95.0).select("ref", "qry", "s1", "e1", "s2", "e2", "idy"),
@@ -273,6 +274,12 @@ def oracle_sql() -> dict[str, str]:
         "best_hits": f"""WITH {_O}, x AS (SELECT *, least(s2, e2) AS lo, greatest(s2, e2) AS hi, e1 * idy AS worth FROM o WHERE idy >= 95)
             SELECT ref, qry, s1, e1, s2, e2, idy FROM x a WHERE NOT EXISTS (SELECT 1 FROM x b WHERE a.qry = b.qry AND b.lo <= a.lo AND b.hi >= a.hi
               AND (b.worth > a.worth OR b.worth = a.worth AND (b.ref < a.ref OR b.ref = a.ref AND (b.s1 < a.s1 OR b.s1 = a.s1 AND (b.e1 < a.e1 OR b.e1 = a.e1 AND b.s2 < a.s2)))))""",
+        "best_chain": f"""WITH RECURSIVE {_O}, x AS (SELECT qry, ref, s1, e1, s2, e2, least(s2, e2) AS lo, greatest(s2, e2) AS hi, e1 * round(idy * 1000)::BIGINT AS w FROM o),
+            s AS (SELECT qry, lo, hi, w, row_number() OVER (PARTITION BY qry ORDER BY hi, lo, ref, s1, e1, s2) AS i FROM x),
+            p AS (SELECT a.qry, a.i, any_value(a.w) AS w, count(b.i) AS p FROM s a LEFT JOIN s b ON a.qry = b.qry AND b.hi < a.lo GROUP BY a.qry, a.i),
+            r AS (SELECT DISTINCT qry, 0::BIGINT AS i, [0::BIGINT] AS best FROM s
+              UNION ALL SELECT r.qry, p.i, list_append(r.best, greatest(r.best[r.i + 1], p.w + r.best[p.p + 1])) FROM r JOIN p ON p.qry = r.qry AND p.i = r.i + 1)
+            SELECT qry, max(best[i + 1])::BIGINT AS worth FROM r GROUP BY qry""",
         "number_rows": "SELECT printf('p%04d', row_number() OVER (ORDER BY doc_id)) AS tag, doc_id FROM documents",
         "edit_distance": "SELECT p_partkey, (CASE WHEN levenshtein(p_name, p_type) > 12 THEN -1 ELSE levenshtein(p_name, p_type) END)::INT AS d FROM part",
         "unitigs": f"""WITH RECURSIVE {_S}, {p}, {_C(K, 8)}, {_BOTH(K)}, i AS (SELECT dst AS k FROM l GROUP BY 1 HAVING count(*) = 1), o AS (SELECT src AS k FROM l GROUP BY 1 HAVING count(*) = 1),

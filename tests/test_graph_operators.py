@@ -370,3 +370,30 @@ def test_readers_and_writers(spark, tmp_path):
     tables.write_table(spark.createDataFrame([(1, "a")], "i int, s string"), str(tmp_path / "tsv"))
     assert spark.read.text(str(tmp_path / "tsv")).first().value == "1\ta"
     assert kmers.count_range(tables.read_counts(spark, str(tmp_path / "k")), 1, 5).count() == 1
+
+
+def test_best_chain_against_all_subsets(spark):
+    from itertools import combinations
+
+    rng = random.Random(21)
+    rows, want = [], {}
+    for q in range(25):
+        mine = []
+        for i in range(rng.randrange(0, 9)):
+            a = rng.randrange(1, 60)
+            b = a + rng.randrange(0, 25)
+            mine.append((1, 1 + b - a, *((a, b) if rng.random() < 0.5 else (b, a)), 1 + b - a, 1 + b - a, rng.choice([90.0, 95.5, 100.0]), f"r{i}", f"q{q}"))
+        rows += mine
+        span = lambda r: (min(r[2:4]), max(r[2:4]))
+        apart = lambda rs: all(span(a)[1] < span(b)[0] or span(b)[1] < span(a)[0] for a, b in combinations(rs, 2))
+        if mine:
+            want[f"q{q}"] = max(sum(r[5] * round(r[6] * 1000) for r in rs) for n in range(1, len(mine) + 1) for rs in combinations(mine, n) if apart(rs))
+    x = spark.createDataFrame(rows, "s1 int, e1 int, s2 int, e2 int, len1 int, len2 int, idy double, ref string, qry string")
+    got = {}
+    for r in align.best_chain(x).collect():
+        got.setdefault(r.qry, []).append(r)
+    assert {q: sum(r.len2 * round(r.idy * 1000) for r in rs) for q, rs in got.items()} == want
+    for rs in got.values():
+        at = sorted((min(r.s2, r.e2), max(r.s2, r.e2)) for r in rs)
+        assert all(a[1] < b[0] for a, b in zip(at, at[1:]))
+    assert align.best_chain(x.limit(0)).count() == 0
