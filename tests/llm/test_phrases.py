@@ -62,7 +62,7 @@ def test_no_phrases(spark):
 def test_trie_holds_what_it_was_given():
     rng = random.Random(2)
     some = list({tuple(rng.randrange(1, 40) for _ in range(rng.randrange(2, 6))) for _ in range(600)})
-    trie = p.Trie([list(x) for x in some])
+    trie = p.Trie(np.array([w for x in some for w in x], np.uint64), np.concatenate([[0], np.cumsum([len(x) for x in some])]))
     for x in {*some, *(tuple(rng.randrange(1, 45) for _ in range(3)) for _ in range(600))}:
         s = 0
         for c in x:
