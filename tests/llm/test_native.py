@@ -137,7 +137,7 @@ def uneven(seed):
     return rows
 
 
-@pytest.mark.parametrize("entropy,repeats,budget", [(0.98, 4.0, None), (1.0, 4.0, None), (1.0, 1.7, None), (0.9, 4.0, 5000), (0.0, 4.0, None)])
+@pytest.mark.parametrize("entropy,repeats,budget", [(1.0, 1.7, None), (0.9, 4.0, 5000), (0.0, 4.0, None)])
 def test_mixing_against_a_plain_version(spark, entropy, repeats, budget):
     rows = uneven(3)
     want = plain_mix(rows, entropy, repeats, budget)
@@ -147,6 +147,7 @@ def test_mixing_against_a_plain_version(spark, entropy, repeats, budget):
     drawn = draw(docs(spark, *rows).repartition(3), budget, entropy, repeats)
     assert Counter(r.doc_id for r in drawn.collect()) == Counter(i for i, _ in want.elements())
     if entropy == 0.0:
+        # exponent 1: every row of a source with tokens, once
         assert sum(want.values()) == sum(s != "empty" for _, _, s in rows)
     else:
         assert len({b for _, b in want}) > 1
