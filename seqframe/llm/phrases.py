@@ -32,6 +32,8 @@ BYTES_AT_ONCE = 1 << 21
 #: Phrases in one trie (8 MB of states or so), and hashes in the filter of one level (16 MB, with keys 32). More phrases
 #: make more tries, each with a pass of its own; more hashes leave the filter out, and more rows are summed.
 TRIE, FILTER = 1 << 18, 1 << 21
+#: Shards of the texts, whose counts are summed, for each core.
+SHARDS_A_CORE = 2
 #: Places that the children of one state are tried at before they go to the end of the trie.
 TRIES = 128
 SPELT_SQL = "h long, lang string, phrase string"
@@ -286,6 +288,8 @@ class Trie:
 def trie_counts(texts: DataFrame, found: DataFrame) -> DataFrame:
     """``h, f``: occurrences of the phrases of ``found`` (h, lang, phrase), counted by tries of about TRIE phrases each."""
     tries = -(-found.count() // TRIE)
+    # every shard gives a row a phrase it has, so there are no more shards than keep all cores busy
+    texts = texts.coalesce(SHARDS_A_CORE * max(1, texts.sparkSession.sparkContext.defaultParallelism))
     out = found.select("h", F.lit(0).cast("long").alias("f")).limit(0)
     for part in range(tries):
         mine = found.where(F.pmod(F.xxhash64("h"), F.lit(tries)) == part).toArrow()
