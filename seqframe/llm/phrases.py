@@ -33,7 +33,7 @@ BYTES_AT_ONCE = 1 << 21
 #: make more tries, each with a pass of its own; more hashes leave the filter out, and more rows are summed.
 TRIE, FILTER = 1 << 18, 1 << 21
 #: Shards of the texts, whose counts are summed, for each core.
-SHARDS_A_CORE = 2
+SHARDS_A_CORE = 1
 #: Places that the children of one state are tried at before they go to the end of the trie.
 TRIES = 128
 SPELT_SQL = "h long, lang string, phrase string"
