@@ -64,6 +64,15 @@ def read_counts(spark: SparkSession, path: str, limit: int = 16383) -> DataFrame
     return x.select(F.upper("kmer").alias("kmer"), F.least("cnt", F.lit(limit)).alias("cnt"))
 
 
+def stored(rows: DataFrame, name: str, key: str = "kmer", buckets: int = 200) -> DataFrame:
+    """Rows as a table of the warehouse, in buckets of ``key``, one sorted file each: joins on the key shuffle the other side only.
+
+    Filters on counts reach its Parquet files. An older table of the name is replaced.
+    """
+    rows.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).mode("overwrite").format("parquet").saveAsTable(name)
+    return rows.sparkSession.table(name)
+
+
 def read_alignments(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, sep="\t", schema=ALIGNMENT)
 
