@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from seqframe.functions.sequence import reverse_complement
+from seqframe.operators.chunks import in_chunks, running
 
 
 def region_of(rows: DataFrame, slack: int = 100) -> DataFrame:
@@ -36,9 +36,11 @@ def cluster_endpoints(points: DataFrame, sep: int = 500) -> DataFrame:
     Points off their sequence are dropped. Columns: id, pos, dir, len, prec.
     """
     points = points.where((F.col("pos") >= 1) & (F.col("pos") <= F.col("len")))
-    w = Window.partitionBy("id", "dir").orderBy("pos", "prec", "len")
-    gap = (F.col("pos") - F.lag("pos").over(w) > sep).cast("int")
-    islands = points.withColumn("gap", F.coalesce(gap, F.lit(0))).withColumn("island", F.sum("gap").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    ids, order = ["id", "dir"], ["pos", "prec", "len"]
+    rows = running(in_chunks(points, ids, order), ids, order, F.col("pos"), "last")
+    gap = F.coalesce((F.col("pos") - F.col("last") > sep).cast("int"), F.lit(0))
+    islands = running(rows.withColumn("gap", gap), ids, order, F.col("gap"), "turns", add=True)
+    islands = islands.withColumn("island", F.coalesce("turns", F.lit(0)) + F.col("gap"))
     best = F.min_by(F.struct("pos", "len", "prec"), F.struct("prec", "pos", "len")).alias("b")
     return islands.groupBy("id", "dir", "island").agg(best).select("id", "b.pos", "dir", "b.len", "b.prec")
 
@@ -49,13 +51,13 @@ def union_regions(regions: DataFrame, tail: int = 500) -> DataFrame:
     Where a later region leaves at least ``tail`` of the union, the union begins there instead.
     """
     order = ["lo", F.desc("hi"), "dir"]
-    w = Window.partitionBy("id").orderBy(*order)
-    runs = regions.withColumn("turn", F.coalesce((F.lag("dir").over(w) != F.col("dir")).cast("int"), F.lit(0)))
-    runs = runs.withColumn("run", F.sum("turn").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    wr = Window.partitionBy("id", "run").orderBy(*order)
-    runs = runs.withColumn("reach", F.max("hi").over(wr.rowsBetween(Window.unboundedPreceding, -1)))
-    runs = runs.withColumn("gap", (F.col("reach").isNull() | (F.col("reach") < F.col("lo"))).cast("int"))
-    runs = runs.withColumn("group", F.sum("gap").over(wr.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = in_chunks(regions, ["id"], order)
+    rows = running(rows, ["id"], order, F.struct("lo", -F.col("hi"), "dir"), "last")
+    rows = rows.withColumn("turn", F.coalesce((F.col("last.dir") != F.col("dir")).cast("int"), F.lit(0)))
+    rows = running(rows, ["id"], order, F.col("turn"), "turns", add=True).withColumn("run", F.coalesce("turns", F.lit(0)) + F.col("turn"))
+    rows = running(rows, ["id", "run"], order, F.col("hi"), "reach")
+    rows = rows.withColumn("gap", (F.col("reach").isNull() | (F.col("reach") < F.col("lo"))).cast("int"))
+    runs = running(rows, ["id", "run"], order, F.col("gap"), "gaps", add=True).withColumn("group", F.coalesce("gaps", F.lit(0)) + F.col("gap"))
     moved = F.max(F.when((F.col("gap") == 0) & (F.lit(tail) <= 1 + F.col("reach") - F.col("lo")), F.col("lo")))
     out = runs.groupBy("id", "run", "group", "dir").agg(F.coalesce(moved, F.min("lo")).alias("lo"), F.max("hi").alias("hi"))
     return out.select("id", "lo", "hi", "dir")
@@ -64,10 +66,9 @@ def union_regions(regions: DataFrame, tail: int = 500) -> DataFrame:
 def group_intervals(rows: DataFrame, distance: int = 100, least: int = 2000) -> DataFrame:
     """``qry, start, end`` of intervals of one query joined over gaps of at most ``distance``, at least ``least`` long."""
     x = rows.select("qry", F.least("s2", "e2").alias("s"), F.greatest("s2", "e2").alias("e"))
-    w = Window.partitionBy("qry").orderBy("s", "e")
-    reach = F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    x = x.withColumn("gap", F.coalesce((F.col("s") > reach + distance).cast("int"), F.lit(1)))
-    x = x.withColumn("g", F.sum("gap").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    x = running(in_chunks(x, ["qry"], ["s", "e"]), ["qry"], ["s", "e"], F.col("e"), "reach")
+    x = x.withColumn("gap", F.coalesce((F.col("s") > F.col("reach") + distance).cast("int"), F.lit(1)))
+    x = running(x, ["qry"], ["s", "e"], F.col("gap"), "gaps", add=True).withColumn("g", F.coalesce("gaps", F.lit(0)) + F.col("gap"))
     out = x.groupBy("qry", "g").agg(F.min("s").alias("start"), F.max("e").alias("end"))
     return out.where(F.col("end") - F.col("start") + 1 >= least).select("qry", "start", "end")
 
