@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seqframe.llm.ngram_join import sliced
 from seqframe.llm.scratch import written
 from seqframe.llm.tokens import SPACE_OR_MARK, U, mix, rolling, span, windows, word_hashes
 
@@ -196,6 +197,14 @@ def find_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return out
 
 
+def cleaned(items: Items, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in which no item is found; few rows are searched at a time, so large batches need no more memory."""
+    for batch in sliced(batches):
+        keep = np.ones(batch.num_rows, bool)
+        keep[[f[0] for f in search(items, batch["text"])]] = False
+        yield batch.filter(pa.array(keep))
+
+
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the rows in which an item is found; columns and their order stay, whatever their names.
 
@@ -206,10 +215,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                keep = np.ones(batch.num_rows, bool)
-                keep[[f[0] for f in search(shared.value, batch["text"])]] = False
-                yield batch.filter(pa.array(keep))
+            yield from cleaned(shared.value, batches)
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

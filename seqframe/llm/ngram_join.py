@@ -42,8 +42,10 @@ NEIGHBOURS, ORDERS = 2, 3
 ENTRY = np.dtype([("h", "<u8"), ("node", "<i8"), ("n", "<u4"), ("pos", "<u4")])
 #: Documents hashed at a time: a batch of long documents stays small in memory.
 AT_ONCE = 256
-#: Bits of the filter that tells which documents a check of candidates may need: 16 a document, 32 MB at most.
+#: Bits of a filter that tells which documents a check of candidates, or the end of keep_one, may need: 16 a document, 32 MB at most.
 FILTER_BITS = 1 << 28
+#: Bits of one row of the filter of keep_one (4 KB).
+SLICE = 32768
 SETS_SQL = "doc_id long, k1 long, k2 long, n long, s1 long, s2 long, prefix binary, bits binary"
 
 
@@ -435,9 +437,10 @@ def verified(pairs: DataFrame, sets: DataFrame, slim: DataFrame, words: int, num
             data = pa.array([s[off[i] : off[i + 1]].tobytes() for i in range(len(off) - 1)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch["doc_id"], *sums, data], ["doc_id", "s1", "s2", "data"])
 
-    made = slim.select("doc_id", "text", place.alias("x")).mapInArrow(arrays, "doc_id long, s1 long, s2 long, data binary")
+    # the shuffle that drops repeats serves the join as well
+    made = slim.select("doc_id", "text", place.alias("x")).mapInArrow(arrays, "doc_id long, s1 long, s2 long, data binary").dropDuplicates(["doc_id", "s1", "s2"])
     of = needed.select("node", F.col("doc_id").alias("k0"), F.col("s1").alias("k1"), F.col("s2").alias("k2"))
-    held = made.join(of, (F.col("doc_id") == F.col("k0")) & (F.col("s1") == F.col("k1")) & (F.col("s2") == F.col("k2"))).select("node", "data").dropDuplicates(["node"])
+    held = made.join(of, (F.col("doc_id") == F.col("k0")) & (F.col("s1") == F.col("k1")) & (F.col("s2") == F.col("k2"))).select("node", "data")
     held = written(held, "arrays")
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -461,12 +464,27 @@ def component_table(docs: DataFrame) -> DataFrame:
     return similar_groups(docs, words=4, num=85, den=100)
 
 
+def possible(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """``rows`` and ``maybe``: false only where no row of ``keys`` has the row's k1. Only a filter is broadcast, no row is shuffled."""
+    bits = SLICE
+    while bits < min(FILTER_BITS, 16 * keys.count()):
+        bits *= 2
+    cell = F.col("k1").bitwiseAND(F.lit(bits - 1))
+    filled = keys.select(cell.alias("cell")).groupBy(F.expr(f"cell div {SLICE}").alias("slice")).agg(F.bitmap_construct_agg(F.col("cell") % SLICE).alias("bits"))
+    filled = written(filled, "filter")
+    probed = rows.withColumn("cell", cell).join(F.broadcast(filled), F.expr(f"cell div {SLICE}") == F.col("slice"), "left")
+    byte = F.conv(F.hex(F.substring(F.col("bits"), (F.expr(f"cell % {SLICE} div 8") + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.getbit(byte, F.expr("cast(cell % 8 as int)")) == 1, F.lit(False))
+    return probed.select(*rows.columns, hit.alias("maybe"))
+
+
 def keep_one(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """``docs`` with one row of each group of similar texts; columns and their order stay, whatever their names.
 
     The row with the smallest id stays, null ids last; of rows with that id, one text of the group, and of
     rows that agree in id and text, the one with the smallest other columns. Null, empty and blank texts have no shingle and all
-    stay. An empty table stays empty.
+    stay. An empty table stays empty. Whole rows are shuffled only where a filter of the rows that go, or are
+    there more than once, lets them through.
     """
     grouped, used = _grouped(docs, words, num, den, "doc_id", "text")
     groups = written(grouped.where("n > 0"), "groups")
@@ -478,11 +496,12 @@ def keep_one(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) ->
     # rows that go, and rows that stay but are there more than once; a key stands for one id and text, hence for one group
     fate = written(marked.groupBy("k1", "k2").agg(F.max("wins").alias("wins"), F.count("*").alias("n")).where("not wins or n > 1"), "fate")
     dropped(groups, first_of)
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *row_keys("doc_id", "text"))
+    keyed = possible(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *row_keys("doc_id", "text")), fate)
+    suspects = keyed.where("maybe")
     on = lambda f: (F.col("k1") == F.col("f1")) & (F.col("k2") == F.col("f2"))
     ends = fate.select(F.col("k1").alias("f1"), F.col("k2").alias("f2"), "wins")
-    out = keyed.join(ends.drop("wins"), on(ends), "left_anti").select("row.*")
+    out = keyed.where("not maybe").select("row.*").unionByName(suspects.join(ends.drop("wins"), on(ends), "left_anti").select("row.*"))
     if not ends.where("wins").isEmpty():
-        repeated = keyed.join(ends.where("wins").drop("wins"), on(ends), "left_semi")
+        repeated = suspects.join(ends.where("wins").drop("wins"), on(ends), "left_semi")
         out = out.unionByName(repeated.groupBy("k1", "k2").agg(F.min("row").alias("row")).select("row.*"))
     return out

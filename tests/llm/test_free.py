@@ -121,6 +121,46 @@ def test_one_row_of_each_group_stays(spark):
     assert only_null.count() == 2
 
 
+def test_rows_that_no_filter_holds_are_not_shuffled(spark, monkeypatch):
+    rng = random.Random(29)
+    texts = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=9)) for _ in range(900)) for _ in range(300)]
+    # 3 rows go, one row is there twice
+    rows = [*enumerate(texts), (300, texts[5]), (301, texts[6] + " end"), (302, texts[5]), (7, texts[7]), (None, None)]
+    want = sorted((i if i is not None else -1, t or "") for i, t in [*enumerate(texts), (None, None)])
+    x = docs(spark, *rows)
+    plan, sc = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), spark.sparkContext._jsc.sc()
+
+    def shuffled():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        return sc.statusStore().executorList(False).apply(0).totalShuffleWrite()
+
+    # as with many rows: what goes is too much to be broadcast
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = ngram_join.keep_one(x)
+        before = shuffled()
+        got = sorted((r.doc_id if r.doc_id is not None else -1, r.text or "") for r in kept.collect())
+        assert got == want and shuffled() - before < sum(map(len, texts)) // 10
+        # a filter that lets all through changes nothing
+        monkeypatch.setattr(ngram_join, "possible", lambda rows, keys: rows.withColumn("maybe", F.lit(True)))
+        got = sorted((r.doc_id if r.doc_id is not None else -1, r.text or "") for r in ngram_join.keep_one(x).collect())
+        assert got == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", plan)
+
+
+def test_large_batches_are_searched_in_small_ones(monkeypatch):
+    rng = random.Random(31)
+    item = prose(rng, 30)
+    texts = [f"{prose(rng, 9)} {item}" if i % 7 == 3 else prose(rng, 9) if i % 5 else None for i in range(2000)]
+    items, seen, search = decontaminate.prepare([(1, item)]), [], decontaminate.search
+    monkeypatch.setattr(decontaminate, "search", lambda i, t: seen.append(len(t)) or search(i, t))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2000)), pa.array(texts, pa.string())], ["doc_id", "text"])
+    got = [i for b in decontaminate.cleaned(items, iter([batch])) for i in b["doc_id"].to_pylist()]
+    assert got == [i for i in range(2000) if i % 7 != 3]
+    assert max(seen) <= ngram_join.AT_ONCE and sum(seen) == 2000
+
+
 def test_components_of_a_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(50, 51)], "a long, b long")
     assert {r.node: r.comp for r in components(links).collect()} == {**{i: 1 for i in range(1, 41)}, 50: 50, 51: 50}
