@@ -93,10 +93,10 @@ def context_runs(seqs: DataFrame, k: int, totals: bool) -> DataFrame:
     return seqs.select("id", "seq").mapInArrow(batches, kinds)
 
 
-def table_rows(counts: DataFrame, k: int, like: DataFrame) -> DataFrame:
-    """Rows of fields(), with the columns of ``like``: every k-mer of the table in the parts of its two contexts."""
-    id_type = id_arrow(like.select(F.col("ids")[0].alias("id")))[1]
-    schema = fields(id_type)
+def table_rows(counts: DataFrame, k: int, like: DataFrame | None = None) -> DataFrame:
+    """Rows of fields(), with the columns of ``like`` (part, letters and counts without it): every k-mer of the table in the parts of its two contexts."""
+    schema = pa.schema([f for f in fields(pa.int64()) if f.name in ("part", "letters", "counts")]) if like is None else fields(id_arrow(like.select(F.col("ids")[0].alias("id")))[1])
+    sql = "part int, letters binary, counts binary" if like is None else ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in like.schema.fields)
 
     def dealt(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         kmers, cnt = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -118,7 +118,24 @@ def table_rows(counts: DataFrame, k: int, like: DataFrame) -> DataFrame:
         if found:
             yield dealt(found)
 
-    return counts.select("kmer", F.col("cnt").cast("long").alias("cnt")).mapInArrow(batches, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in like.schema.fields))
+    return counts.select("kmer", F.col("cnt").cast("long").alias("cnt")).mapInArrow(batches, sql)
+
+
+def joined_parts(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Each part with its k-mers and counts, from rows of a table in the order of parts."""
+    now, table = None, []
+    for b in it:
+        part, edges = part_edges(b)
+        for at, to in zip(edges[:-1], edges[1:], strict=True):
+            if not part.size:
+                continue
+            if table and part[at] != now:
+                yield int(now), *(np.concatenate(x) for x in zip(*table, strict=True))
+                table = []
+            now = part[at]
+            table.append((joined(b, "letters", at, to).view(np.uint64), joined(b, "counts", at, to).view(np.int64)))
+    if table:
+        yield int(now), *(np.concatenate(x) for x in zip(*table, strict=True))
 
 
 class Near:
