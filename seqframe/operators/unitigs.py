@@ -213,3 +213,19 @@ def packed_unitigs(counts: DataFrame, k: int) -> DataFrame:
     last = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", F.right("node", F.lit(1)).alias("b")))), lambda x: x["b"]), "")
     grouped = layout.groupBy("head").agg(F.count("*").alias("n"), last.alias("tail"))
     return out.unionByName(grouped.select("head", "n", F.concat(F.col("head"), F.expr("substring(tail, 2)")).alias("seq")))
+
+
+def packed_successors(counts: DataFrame, k: int) -> DataFrame:
+    """``src, dst``: as kmers.successors(), of k-mers of k letters, k at most LONGEST_K: k-mers before and behind a context meet in its part."""
+
+    def parts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, kmers, _ in joined_parts(it):
+            near = Near(kmers, np.ones(kmers.size, np.int64), k)
+            ours = np.flatnonzero(parts_of(near.names, k - 1) == part)
+            row, p, q = np.nonzero((near.before[ours] > 0)[:, :, None] & (near.after[ours] > 0)[:, None, :])
+            x = near.names[ours[row]]
+            src, dst = (p.astype(np.uint64) << np.uint64(2 * (k - 1))) | x, (x << np.uint64(2)) | q.astype(np.uint64)
+            for at in range(0, src.size, 1 << 16):
+                yield pa.RecordBatch.from_arrays([spelt(c[at : at + (1 << 16)], k) for c in (src, dst)], ["src", "dst"])
+
+    return table_rows(counts, k).repartition("part").sortWithinPartitions("part").mapInArrow(parts, "src string, dst string")

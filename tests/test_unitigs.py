@@ -37,3 +37,13 @@ def test_long_paths_take_few_rows(spark):
     counts = kmers.count_kmers(rows_of(spark, [text]), 31)
     assert unitigs.stretches(counts, 31).count() < 20_000 / 2
     assert rows(unitigs.packed_unitigs(counts, 31)) == rows(graph.unitig_sequences(counts))
+
+
+@pytest.mark.parametrize("k", [4, 5, 31])
+def test_packed_successors_equal_those_of_a_join(spark, k):
+    draw = random.Random(k)
+    texts = ["".join(draw.choices("ACGT", k=90)) for _ in range(6)] + ["A" * 40, "ACGT" * 12, "N" * 50]
+    counts = kmers.count_kmers(rows_of(spark, texts), k)
+    df = unitigs.packed_successors(counts, k)
+    assert sorted(map(tuple, df.collect())) == sorted(map(tuple, kmers.successors(counts).collect()))
+    assert "Join" not in df._jdf.queryExecution().executedPlan().toString()
