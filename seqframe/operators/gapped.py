@@ -10,13 +10,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from seqframe.functions.sequence import kmers, protein, reverse_complement
+from seqframe.functions.sequence import CODE, CODONS, kmers, reverse_complement
+from seqframe.operators.minimizers import CODE_OF, OTHER
 from seqframe.sources.tables import written
 
 #: Scores of the extension: a match, and an edit. In the packed form the lowest four digits count matches.
 MATCH, EDIT, DIGITS = 1, -2, 10_000
 #: Bases that an end is extended by at most in one go; it goes on while a whole go was used.
 REACH = 200
+#: Distinct seeds of the reference that queries are filtered by; with more all their places go into the join. Bits of the filter's first step.
+MOST_WORDS, FILTER_BITS = 1 << 18, 22
 FIELDS = ["s1", "e1", "s2", "e2", "len1", "len2", "matches", "columns"]
 
 
@@ -124,10 +127,45 @@ def aligned(a: np.ndarray, b: np.ndarray, segments: np.ndarray, gap: int, shift:
     return out
 
 
+def hashed(text: np.ndarray, seed: int) -> np.ndarray:
+    """A number for the ``seed`` letters from every place on."""
+    out = np.zeros(max(0, text.size - seed + 1), np.uint64)
+    for i in range(seed):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + text[i : i + out.size]
+    return (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def with_words(qry: DataFrame, seed: int, words: list[str]) -> DataFrame:
+    """``id, seq, at, words``: sequences that have some of the words, with all places (from 0) of such, and maybe of a few others."""
+    numbers = np.unique(hashed(np.frombuffer("".join(words).encode("latin-1", "replace"), np.uint8), seed)[::seed])
+    top = np.uint64(64 - FILTER_BITS)
+    there = np.zeros(1 << FILTER_BITS, bool)
+    there[(numbers >> top).astype(np.int64)] = True
+    both = qry.sparkSession.sparkContext.broadcast((numbers, np.packbits(there)))
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, there = both.value[0], np.unpackbits(both.value[1]).view(bool)
+        for b in it:
+            kept, places, found = [], [], []
+            for i, seq in enumerate(b.column(1).to_pylist()):
+                h = hashed(np.frombuffer(seq.encode("latin-1", "replace"), np.uint8), seed)
+                at = np.flatnonzero(there[(h >> top).astype(np.int64)])
+                at = at[numbers[np.minimum(np.searchsorted(numbers, h[at]), numbers.size - 1)] == h[at]]
+                if at.size:
+                    kept.append(i)
+                    places.append(at.tolist())
+                    found.append([seq[x : x + seed] for x in places[-1]])
+            lists = [pa.array(places, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(kept, pa.int64())), b.column(1).take(pa.array(kept, pa.int64())), *lists], ["id", "seq", "at", "words"])
+
+    return qry.select("id", "seq").mapInArrow(batches, f"id {qry.schema['id'].dataType.simpleString()}, seq string, at array<int>, words array<string>")
+
+
 def exact_matches(ref: DataFrame, qry: DataFrame, seed: int, letters: str) -> DataFrame:
-    """``ref, qry, segments``: all stretches of ``seed`` letters and more that sequences share, as (p, q, n) from 0."""
+    """``ref, qry, segments``: all stretches of ``seed`` letters and more that sequences share, as (p, q, n) from 0. qry: see with_words(), or id and seq."""
     at = lambda df, c, p: df.select(F.col("id").alias(c), F.posexplode(kmers("seq", seed)).alias(p, f"w{p}")).where(~F.col(f"w{p}").rlike(f"[^{letters}]"))
-    hits = at(ref, "ref", "p").join(at(qry, "qry", "q"), F.col("wp") == F.col("wq")).select("ref", "qry", "p", (F.col("q") - F.col("p")).alias("diag"))
+    some = lambda df: df.select(F.col("id").alias("qry"), F.explode(F.arrays_zip("at", "words")).alias("h")).select("qry", F.col("h.at").alias("q"), F.col("h.words").alias("wq"))
+    hits = at(ref, "ref", "p").join(some(qry) if "words" in qry.columns else at(qry, "qry", "q"), F.col("wp") == F.col("wq")).select("ref", "qry", "p", (F.col("q") - F.col("p")).alias("diag"))
     # places of one diagonal that follow each other
     w = Window.partitionBy("ref", "qry", "diag").orderBy("p")
     runs = hits.withColumn("run", F.col("p") - F.row_number().over(w)).groupBy("ref", "qry", "diag", "run").agg(F.min("p").alias("p"), F.count("*").alias("n"))
@@ -137,6 +175,10 @@ def exact_matches(ref: DataFrame, qry: DataFrame, seed: int, letters: str) -> Da
 
 def _rows(ref: DataFrame, qry: DataFrame, seed: int, gap: int, shift: int, least: int, letters: str) -> DataFrame:
     """``ref, qry, s1 .. columns``: alignments of sequences (id, seq) with sequences, as they read; places from 1."""
+    words = ref.select(F.explode(kmers("seq", seed)).alias("w")).where(~F.col("w").rlike(f"[^{letters}]")).distinct().limit(MOST_WORDS + 1).collect()
+    if 0 < len(words) <= MOST_WORDS:
+        # few words: only sequences that have some go further, with their places
+        qry = written(with_words(qry, seed, [r.w for r in words]), "with-words")
     pairs = written(exact_matches(ref, qry, seed, letters), "matches")
     pairs = pairs.join(ref.select(F.col("id").alias("r_of"), F.col("seq").alias("a")), F.col("ref") == F.col("r_of"))
     pairs = pairs.join(qry.select(F.col("id").alias("q_of"), F.col("seq").alias("b")), F.col("qry") == F.col("q_of")).select("ref", "qry", "segments", "a", "b")
@@ -185,9 +227,28 @@ def align_gapped(ref: DataFrame, qry: DataFrame, seed: int = 20, gap: int = 90,
 
 def frames(df: DataFrame) -> DataFrame:
     """``id (id, frame), seq``: the amino acids of the six reading frames, 1 to 3 and, of the other strand, -1 to -3."""
-    both = [("seq", 1), (reverse_complement("seq"), -1)]
-    of = [F.struct(F.lit(sign * f).alias("frame"), protein(F.substring(s, f, 1 << 30)).alias("seq")) for s, sign in both for f in (1, 2, 3)]
-    return df.select("id", F.explode(F.array(*of)).alias("s")).select(F.struct("id", "s.frame").alias("id"), "s.seq")
+    kind = df.schema["id"].dataType.simpleString()
+    amino = np.full(125, ord("X"), np.uint8)
+    for codon, letter in zip(CODONS, CODE, strict=True):
+        a, b, c = (int(CODE_OF[ord(x)]) for x in codon)
+        amino[25 * a + 5 * b + c] = ord(letter)
+    other = np.array([3, 2, 1, 0, OTHER], np.uint8)
+
+    def translated(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for at in range(0, batch.num_rows, 500):
+                part, out = batch.slice(at, 500), []
+                for seq in part.column(1).to_pylist():
+                    codes = CODE_OF[np.frombuffer((seq or "").upper().encode("ascii", "replace"), np.uint8)]
+                    for side in (codes, other[codes[::-1]]):
+                        side = side.astype(np.int64)
+                        every = amino[25 * side[:-2] + 5 * side[1:-1] + side[2:]] if side.size > 2 else np.zeros(0, np.uint8)
+                        out += [None if seq is None else every[f::3].tobytes().decode() for f in range(3)]
+                ids = part.column(0).take(pa.array(np.repeat(np.arange(part.num_rows), 6)))
+                frame = pa.array(np.tile(np.array([1, 2, 3, -1, -2, -3], np.int32), part.num_rows))
+                yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays([ids, frame], ["id", "frame"]), pa.array(out, pa.string())], ["id", "seq"])
+
+    return df.select("id", "seq").mapInArrow(translated, f"id struct<id: {kind}, frame: int>, seq string")
 
 
 def align_translated(ref: DataFrame, qry: DataFrame, seed: int = 6, gap: int = 30, shift: int = 10, least: int = 20) -> DataFrame:
